@@ -84,6 +84,26 @@ def running(df: DataFrame, group: list[str], order: str, sums: dict[str, Column]
     return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 
 
+def latest_mark(rows: DataFrame, marks: DataFrame, group: list[str], order: str, columns: list[str], size: int = BLOCK) -> DataFrame:
+    """Adds ``columns`` of the last mark at or before each row (null before the first).
+
+    ``marks`` (few, keyed by ``group`` and ``order``) are repeated over the row blocks they
+    reach, so a block is complete by itself and rows are shuffled once."""
+    ahead = with_neighbours(marks.select(*group, order, *columns), group, order, after=1, size=size)
+    nxt = F.lead(order, 1).over(Window.partitionBy(*group, "_blk").orderBy(order))
+    ends = rows.groupBy(*group).agg(F.max(order).alias("_end"))
+    reach = (ahead.withColumn("_next", nxt).filter(~F.col("_halo")).drop("_blk", "_halo").join(ends, group)
+             .withColumn("_stop", F.coalesce(F.col("_next") - 1, F.col("_end"))).filter(F.col("_stop") >= F.col(order))
+             .withColumn("_blk", F.explode(F.sequence(block_of(order, size), block_of("_stop", size)))))
+    packed = F.struct(*[F.col(c) for c in columns])
+    both = (rows.withColumn("_blk", block_of(order, size)).withColumn("_mark", F.lit(None).cast(reach.select(packed.alias("m")).schema["m"].dataType))
+            .withColumn("_is_row", F.lit(1))
+            .unionByName(reach.select(*group, order, "_blk", packed.alias("_mark"), F.lit(0).alias("_is_row")), allowMissingColumns=True))
+    w = Window.partitionBy(*group, "_blk").orderBy(order, "_is_row").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_mark", F.last("_mark", ignorenulls=True).over(w)).filter("_is_row = 1")
+    return filled.select(*rows.columns, *[F.col(f"_mark.{c}").alias(c) for c in columns])
+
+
 def running_sorted(df: DataFrame, order: list[Column], value: str, out: str = "_running") -> DataFrame:
     """Running total of ``value`` over the whole table in any sort order.
 

@@ -54,9 +54,9 @@ def with_neighbours(df: DataFrame, group: list[str], order: str, before: int = 0
 
 
 def running(df: DataFrame, group: list[str], order: str, sums: dict[str, Column] | None = None,
-            fills: dict[str, Column] | None = None, block: Column | None = None, size: int = BLOCK) -> DataFrame:
-    """Running totals (``sums``) and last non-null values (``fills``), both including
-    the current row, per group in ``order``.
+            fills: dict[str, Column] | None = None, block: Column | None = None, size: int = BLOCK, through: int = 0) -> DataFrame:
+    """Running totals (``sums``) and last non-null values (``fills``) per group in
+    ``order``: up to the current row, or to the row before it with ``through=-1``.
 
     Windows run inside blocks; block totals are one row per block, and their prefix
     is joined back on the same keys the rows are already partitioned by.
@@ -66,7 +66,7 @@ def running(df: DataFrame, group: list[str], order: str, sums: dict[str, Column]
     named = df.withColumn("_blk", block if block is not None else block_of(order, size))
     for name, expr in {**sums, **fills}.items():
         named = named.withColumn(f"_in_{name}", expr)
-    local = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, through)
     rows = named
     for name in sums:
         rows = rows.withColumn(f"_loc_{name}", F.sum(f"_in_{name}").over(local))

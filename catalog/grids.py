@@ -10,6 +10,7 @@ from catalog.base import query, r, table
 from tabscope.columns import ROW
 from tabscope.functions.ordered import running
 from tabscope.operators import grid as G
+from tabscope.session import durable
 
 GRID = "source string, sheet string, row_number bigint, cells array<string>"
 
@@ -21,7 +22,7 @@ def _texts(*columns):
 def numbered_orders(spark, sf):
     """Orders with their 1-based position ``p`` inside the priority."""
     orders = table(spark, sf, "orders").withColumn("sheet", F.col("o_orderpriority"))
-    return running(orders, ["sheet"], "o_orderkey", sums={"p": F.lit(1)}).withColumn("k", F.floor((F.col("p") - 1) / 100))
+    return durable(running(orders, ["sheet"], "o_orderkey", sums={"p": F.lit(1)}).withColumn("k", F.floor((F.col("p") - 1) / 100)))
 
 
 def order_grid(spark, sf):
@@ -40,7 +41,8 @@ def order_grid(spark, sf):
         F.struct(F.lit(2).cast("bigint").alias("row_number"), F.array().cast("array<string>").alias("cells")),
         F.struct(F.lit(3).cast("bigint").alias("row_number"), F.array(F.lit("Order"), F.lit("Customer"), F.lit("Price"), F.lit("Date")).alias("cells")),
         F.struct((F.col("n") + 2 * F.floor(F.col("n") / 100) + 4).alias("row_number"), F.array(F.concat(F.lit("Note: end of "), F.col("sheet"))).alias("cells")))).alias("x")).select("sheet", "x.*")
-    return data.unionByName(totals).unionByName(frame).select(F.lit("orders").alias("source"), "sheet", "row_number", "cells")
+    # Several rules read the grid, so it is written once.
+    return durable(data.unionByName(totals).unionByName(frame).select(F.lit("orders").alias("source"), "sheet", "row_number", "cells"))
 
 
 _NUMBERED = """o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS p FROM orders),
@@ -104,7 +106,7 @@ def event_grid(spark, sf, same_header):
     header = heads.select("sheet", (53 * F.col("k") + 1).alias("row_number"), F.array(F.lit("Person"), name).alias("cells"))
     titles = heads.filter("k > 0").select("sheet", (53 * F.col("k")).alias("row_number"), F.array(F.concat(F.lit("Part "), F.col("k").cast("string"))).alias("cells"))
     grid = data.unionByName(header) if same_header else data.unionByName(header).unionByName(titles)
-    return grid.select(F.lit("events").alias("source"), "sheet", "row_number", "cells")
+    return durable(grid.select(F.lit("events").alias("source"), "sheet", "row_number", "cells"))
 
 
 @query("split_tables", """

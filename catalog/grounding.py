@@ -102,7 +102,7 @@ def merge_sections(spark, sf):
         "report_id", (F.col("c_custkey") * 2 + F.col("d")).alias("seq"), F.concat(F.lit("Topic "), "id").alias("title"), F.lit("overview").alias("question"), F.array("id").alias("analysis_ids"))
     kinds = F.element_at(F.array(F.lit("statistics"), F.lit("trend"), F.lit("outliers")), (F.col("c_custkey") % 3 + 1).cast("int"))
     out = E.merge_sections(sections, c.select("report_id", F.col("id").alias("evidence_id"), kinds.alias("type")))
-    return out.groupBy("report_id").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.size("analysis_ids")).cast("bigint").alias("ids"))
+    return out.groupBy("report_id").agg(F.count_distinct("seq").alias("sections"), F.count(F.lit(1)).alias("ids"))
 
 
 @query("pick_display", """

@@ -76,9 +76,9 @@ def number_text(c: Column | str) -> Column:
 
 
 def any_word(c: Column, words) -> Column:
-    """True when the lower-cased text holds one of the words."""
+    """True when the text holds one of the words, in any case."""
     # One alternation keeps the generated code small.
-    return F.coalesce(F.lower(one_line(c)).rlike(literal_pattern(words)), F.lit(False))
+    return F.coalesce(c.rlike("(?iu)" + literal_pattern(words)), F.lit(False))
 
 
 def literal_pattern(words) -> str:

@@ -48,23 +48,27 @@ def party_label(header: Column, role: Column) -> Column:
 def map_headers(headers: DataFrame) -> DataFrame:
     """Adds ``axis, role, derived, line_total, category, item, label`` to rows with ``header``."""
     h = F.col("header")
-    axis, role = axis_of(h), role_of(h)
-    derived = any_word(h, V.DERIVED_WORDS)
-    total = any_word(h, V.TOTAL_WORDS) & axis.isNull()
+    low = F.col("low") if "low" in headers.columns else F.lower(one_line(h))
+    axis, role = axis_of(low), role_of(low)
+    derived = any_word(low, V.DERIVED_WORDS)
+    total = any_word(low, V.TOTAL_WORDS) & axis.isNull()
     return (headers.withColumn("axis", axis).withColumn("role", role).withColumn("derived", derived).withColumn("line_total", total)
-            .withColumn("category", any_word(h, V.CATEGORY_WORDS) & axis.isNull() & ~total & ~derived)
-            .withColumn("item", any_word(h, V.ITEM_WORDS) & axis.isNull() & ~total)
+            .withColumn("category", any_word(low, V.CATEGORY_WORDS) & axis.isNull() & ~total & ~derived)
+            .withColumn("item", any_word(low, V.ITEM_WORDS) & axis.isNull() & ~total)
             .withColumn("label", F.when(F.col("axis").isNotNull(), party_label(h, F.col("role"))).otherwise("")))
 
 
 def header_cells(grid: DataFrame) -> DataFrame:
     """Header cells of every comparison sheet: ``row_number, position, header`` of the row
     among the first 12 that resolves to the most axis and role pairs (at least two)."""
-    cells = head_rows(grid, HEADER_SCAN).select(*SHEET, "row_number", F.posexplode("cells").alias("position", "header"))
+    # The plain text form is made once, before the many word tests.
+    texts = F.transform("cells", lambda c: F.struct(c.alias("header"), F.lower(one_line(c)).alias("low")))
+    cells = head_rows(grid, HEADER_SCAN).select(*SHEET, "row_number", F.posexplode(texts).alias("position", "x")).select(*SHEET, "row_number", "position", "x.*")
     mapped = map_headers(cells.filter(~is_blank("header")))
     pairs = mapped.filter(F.col("axis").isNotNull() & ~F.col("derived")).groupBy(*SHEET, "row_number").agg(F.count_distinct("axis", "role").alias("n"))
     best = pairs.groupBy(*SHEET).agg(F.max(F.struct("n", (-F.col("row_number")).alias("r"))).alias("b")).filter("b.n >= 2")
-    return mapped.join(best.select(*SHEET, (-F.col("b.r")).alias("row_number")), [*SHEET, "row_number"])
+    # A row per header cell, read by every mapping step: written once.
+    return durable(mapped.drop("low").join(best.select(*SHEET, (-F.col("b.r")).alias("row_number")), [*SHEET, "row_number"]))
 
 
 def map_vendors(headers: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -105,7 +109,8 @@ def number_of(c: Column) -> Column:
 
 
 def note_class(c: Column) -> Column:
-    return F.when(any_word(c, V.OUT_OF_SCOPE_WORDS), "out_of_scope").when(any_word(c, V.NOT_QUOTED_WORDS), "not_quoted")
+    text = one_line(c)
+    return F.when(any_word(text, V.OUT_OF_SCOPE_WORDS), "out_of_scope").when(any_word(text, V.NOT_QUOTED_WORDS), "not_quoted")
 
 
 def group_key(sheet: Column, category: Column) -> Column:
@@ -119,7 +124,7 @@ def sheet_prefix(sheet: Column) -> Column:
 
 def drop_aggregate_sheets(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept rows, skipped sheets with a reason): sheets that restate others would count twice."""
-    restates = any_word(F.col("sheet"), V.AGGREGATE_SHEET_WORDS)
+    restates = any_word(one_line("sheet"), V.AGGREGATE_SHEET_WORDS)
     skipped = grid.filter(restates).select(*SHEET).distinct().withColumn("reason", F.lit("summary or analysis sheet"))
     return grid.filter(~restates), skipped
 
@@ -172,7 +177,7 @@ def match_vendor_sheets(lines: DataFrame) -> DataFrame:
     groups = digests.groupBy("source", "d", "n").agg(F.min("sheet").alias("rep"))
     member = durable(digests.join(groups, ["source", "d", "n"]).select(*SHEET, "rep", "n"))
     reps = member.filter("sheet = rep").select("source", F.col("rep").alias("sheet"), "n")
-    lean = signed.join(reps, SHEET)
+    lean = join_by_sheet(signed, reps, order="pos")
     a, b = lean.alias("a"), lean.alias("b")
     same = (a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("a.sig") == F.col("b.sig")) & (F.col("a.sheet") < F.col("b.sheet")))
             .groupBy(F.col("a.source").alias("source"), F.col("a.sheet").alias("x"), F.col("b.sheet").alias("y"), F.greatest("a.n", "b.n").alias("n")).agg(F.count(F.lit(1)).alias("m"))

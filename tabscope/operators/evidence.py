@@ -126,24 +126,33 @@ def evidence_rows(tiles: DataFrame, prefix: str = "BOQ") -> DataFrame:
 
 
 def merge_sections(sections: DataFrame, types: DataFrame) -> DataFrame:
-    """Outlines without repeats: ``report_id, seq, title, question, analysis_ids``.
+    """Outlines without repeats, one row per cited analysis:
+    ``report_id, seq, title, question, analysis_id``.
 
     Sections citing the same evidence set collapse to the first; a report above 12 is
     regrouped by kind of analysis under the title of the first section that holds it.
-    ``types``: report_id, evidence_id, type."""
-    ids = F.array_distinct("analysis_ids")
-    keyed = sections.withColumn("analysis_ids", ids).filter(F.size("analysis_ids") > 0).withColumn("_key", F.array_join(F.array_sort("analysis_ids"), "\u0001"))
+    ``types``: report_id, evidence_id, type.  Ids stay rows, so no report is gathered."""
+    keyed = sections.withColumn("analysis_ids", F.array_distinct("analysis_ids")).filter(F.size("analysis_ids") > 0)
+    keyed = keyed.withColumn("_key", F.array_join(F.array_sort("analysis_ids"), "\u0001"))
     firsts = keyed.groupBy("report_id", "_key").agg(F.min_by(F.struct("seq", "title", "question", "analysis_ids"), "seq").alias("s")).select("report_id", "s.*")
-    sized = firsts.join(firsts.groupBy("report_id").agg(F.count(F.lit(1)).alias("_n")), "report_id")
-    small = sized.filter(F.col("_n") <= OUTLINE_SECTIONS).drop("_n")
-    large = sized.filter(F.col("_n") > OUTLINE_SECTIONS).select("report_id", "seq", "title", "question", F.posexplode("analysis_ids").alias("i", "evidence_id"))
-    typed = large.join(types, ["report_id", "evidence_id"], "left").withColumn("type", F.when(F.col("type").isin(*TOPICS), F.col("type")).otherwise("other"))
-    unique = typed.groupBy("report_id", "type", "evidence_id").agg(F.min(F.struct("seq", "i")).alias("at"), F.min_by(F.struct("title", "question"), "seq").alias("h"))
-    grouped = unique.groupBy("report_id", "type").agg(F.min_by("h", "at").alias("h"), F.transform(F.sort_array(F.collect_list(F.struct("at", "evidence_id"))), lambda s: s["evidence_id"]).alias("analysis_ids"))
+    counted = firsts.groupBy("report_id").agg(F.count(F.lit(1)).alias("_n"))
+    sized = _spread(firsts, counted, ["report_id"], "seq").select("*", F.explode("analysis_ids").alias("analysis_id"))
+    small = sized.filter(F.col("_n") <= OUTLINE_SECTIONS).select("report_id", "seq", "title", "question", "analysis_id")
+    kind = F.when(F.col("type").isin(*TOPICS), F.col("type")).otherwise("other")
+    typed = sized.filter(F.col("_n") > OUTLINE_SECTIONS).join(types.withColumnRenamed("evidence_id", "analysis_id"), ["report_id", "analysis_id"], "left").withColumn("type", kind)
     topic = F.array_position(F.array(*[F.lit(t) for t in TOPICS]), F.col("type")).cast("bigint")
-    merged = (grouped.withColumn("seq", topic).groupBy("report_id", F.lower(tidy("h.title")).alias("_t"), F.lower(tidy("h.question")).alias("_q"))
-              .agg(F.min("seq").alias("seq"), F.min_by("h", "seq").alias("h"), F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "analysis_ids"))), lambda s: s["analysis_ids"]))).alias("analysis_ids")))
-    return small.unionByName(merged.select("report_id", "seq", F.col("h.title").alias("title"), F.col("h.question").alias("question"), "analysis_ids"))
+    heads = typed.groupBy("report_id", "type").agg(F.min_by(F.struct("title", "question"), "seq").alias("h")).withColumn("_topic", topic)
+    # At most nine topics per report; topics under one title and question become one section.
+    same = Window.partitionBy("report_id", F.lower(tidy("h.title")), F.lower(tidy("h.question")))
+    heads = heads.select("report_id", "type", F.min("_topic").over(same).alias("seq"), F.min_by("h", "_topic").over(same).alias("h"))
+    large = _spread(typed.select("report_id", "type", "analysis_id").distinct(), heads, ["report_id", "type"], "analysis_id")
+    return small.unionByName(large.select("report_id", "seq", F.col("h.title").alias("title"), F.col("h.question").alias("question"), "analysis_id").distinct())
+
+
+def _spread(rows: DataFrame, facts: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Join facts to rows with hot keys split over salts."""
+    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.hash(by), F.lit(SALTS))).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
 def pick_display(items: DataFrame, keys: list[str], limit: int = DISPLAY_ITEMS) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact quantiles (linear interpolation) without gathering a column in one task.
 
-Spark's exact ``percentile`` keeps every distinct value of a column in one buffer,
-which is fine up to a few million rows and not beyond.  Above that size a sketch
+Spark's exact ``percentile`` keeps every distinct value of its columns in one task,
+which is fine up to a few million values and not beyond.  Above that size a sketch
 brackets every wanted position, one more scan keeps only the values inside the
 brackets (a few rows in ten thousand), and those are ranked exactly.
 """
@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.ordered import running
 
-ONE_BUFFER_ROWS = 4_000_000
+ONE_BUFFER_VALUES = 4_000_000
 ACCURACY = 10_000
 SLACK = 10 / ACCURACY
 SUB_BUCKETS = 1024
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], one_buffer_rows: int = ONE_BUFFER_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], one_buffer_values: int = ONE_BUFFER_VALUES) -> DataFrame:
     """One row per column: ``column, n`` and ``q0, q1, …`` in the order of ``probabilities``.
 
     A column without values has null quantiles.
@@ -27,7 +27,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     names = [f"q{j}" for j in range(len(probabilities))]
     counts = values.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(columns))]).first()
-    if max(counts) <= one_buffer_rows:
+    if sum(counts) <= one_buffer_values:
         wide = values.agg(F.array(*[F.struct(
             F.lit(c).alias("column"), F.count(f"v{i}").alias("n"),
             F.percentile(f"v{i}", F.array(*[F.lit(float(p)) for p in probabilities])).alias("q")) for i, c in enumerate(columns)]).alias("a"))

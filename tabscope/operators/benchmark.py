@@ -283,8 +283,9 @@ def aggregate_groups(money: DataFrame, tolerance: float) -> DataFrame:
 def summarize(groups: DataFrame) -> DataFrame:
     """Ratios per group and per vendor (``group`` null); null where there is no base."""
     measures = [c for c in groups.columns if c not in ("vendor", "group")]
-    totals = groups.groupBy("vendor").agg(*[F.sum(c).alias(c) for c in measures]).withColumn("group", F.lit(None).cast("string"))
-    both = groups.unionByName(totals).withColumn("benchmark_items", F.col("comparable") + F.col("not_quoted")).withColumn("savings", F.col("original") - F.col("normalized"))
+    # Group rows are few; grouping sets add the vendor totals without reading the records twice.
+    both = groups.groupingSets([["vendor", "group"], ["vendor"]], "vendor", "group").agg(*[F.sum(c).alias(c) for c in measures])
+    both = both.withColumn("benchmark_items", F.col("comparable") + F.col("not_quoted")).withColumn("savings", F.col("original") - F.col("normalized"))
     out = both.withColumn("savings_pct", F.try_divide(F.col("savings"), F.nullif("original", F.lit(0.0))) * 100)
     for a in AXES:
         out = out.withColumn(f"{a}_over_pct", F.try_divide(F.col(f"{a}_over"), F.nullif("benchmark_items", F.lit(0))) * 100)

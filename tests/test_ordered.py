@@ -65,7 +65,7 @@ def test_rows_at_ranks(spark):
 def test_bracketed_quantiles_equal_the_builtin(spark):
     df = spark.range(0, 4321).select((F.pmod(F.col("id") * 7919, F.lit(997)) / 7).alias("x"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id")).alias("hot"), F.lit(None).cast("double").alias("none"))
     small = {r["column"]: r for r in exact_quantiles(df, ["x", "hot", "none"], [.25, .5, .9]).collect()}
-    large = {r["column"]: r for r in exact_quantiles(df, ["x", "hot", "none"], [.25, .5, .9], one_buffer_rows=0).collect()}
+    large = {r["column"]: r for r in exact_quantiles(df, ["x", "hot", "none"], [.25, .5, .9], one_buffer_values=0).collect()}
     for c in ("x", "hot"):
         for q in ("q0", "q1", "q2"):
             assert large[c][q] == pytest.approx(small[c][q], rel=1e-12)

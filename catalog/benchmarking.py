@@ -2,13 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, r, table
+from catalog.base import query, table
+from catalog.base import r as rounded
 from tabscope.operators import benchmark as Q
 
 VENDORS = [f"V{i}" for i in range(5)]
 TOLERANCE = .15
 
 
+def r(c, digits=3):
+    """Values are multiples of a thousandth, so three digits never tie."""
+    return rounded(c, digits)
+
+
 def records(spark, sf):
     l = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     none = F.lit(None).cast("double")
@@ -62,14 +68,14 @@ def boq_classify(spark, sf):
     return Q.flag_mismatch(Q.classify_rows(records(spark, sf))).groupBy("vendor", "kind", "parent", "mismatch").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("boq_money", f"WITH {_REC} SELECT vendor, kind, ROUND(SUM(original), 2) AS original, ROUND(SUM(normalized), 2) AS normalized FROM m GROUP BY 1, 2")
+@query("boq_money", f"WITH {_REC} SELECT vendor, kind, ROUND(SUM(original), 3) AS original, ROUND(SUM(normalized), 3) AS normalized FROM m GROUP BY 1, 2")
 def boq_money(spark, sf):
     money = Q.priced_records(records(spark, sf), TOLERANCE)
     return money.groupBy("vendor", "kind").agg(r(F.sum("original")).alias("original"), r(F.sum("normalized")).alias("normalized"))
 
 
 @query("boq_rollup", f"""WITH {_REC} SELECT vendor, g AS "group", CAST(total AS BIGINT) AS total, CAST(comparable AS BIGINT) AS comparable, CAST(out_of_scope AS BIGINT) AS out_of_scope, CAST(not_quoted AS BIGINT) AS not_quoted,
- CAST(parent_rows AS BIGINT) AS parent_rows, CAST(mismatch AS BIGINT) AS mismatch, ROUND(original, 2) AS original, ROUND(normalized, 2) AS normalized, ROUND(savings_pct, 4) AS savings_pct, CAST(quantity_over AS BIGINT) AS quantity_over,
+ CAST(parent_rows AS BIGINT) AS parent_rows, CAST(mismatch AS BIGINT) AS mismatch, ROUND(original, 3) AS original, ROUND(normalized, 3) AS normalized, ROUND(savings_pct, 4) AS savings_pct, CAST(quantity_over AS BIGINT) AS quantity_over,
  CAST(material_over AS BIGINT) AS material_over, CAST(labour_over AS BIGINT) AS labour_over, CAST(material_under AS BIGINT) AS material_under, ROUND(quantity_over_pct, 4) AS quantity_over_pct, ROUND(material_dev_pct, 4) AS material_dev_pct, ROUND(labour_dev_pct, 4) AS labour_dev_pct FROM s""")
 def boq_rollup(spark, sf):
     return summary(spark, sf).select("vendor", "group", "total", "comparable", "out_of_scope", "not_quoted", "parent_rows", "mismatch", r("original").alias("original"), r("normalized").alias("normalized"),
@@ -99,12 +105,12 @@ def boq_patterns(spark, sf):
     return Q.pattern_labels(summary(spark, sf))
 
 
-@query("field_summary", f"""WITH {_REC} SELECT COUNT(*) AS vendors, CAST(SUM(items) AS BIGINT) AS items, arg_min(vendor, savings_pct) AS closest, arg_max(vendor, savings_pct) AS furthest, ROUND(AVG(savings), 2) AS average_savings, ROUND(AVG(savings_pct), 4) AS average_savings_pct FROM s WHERE g IS NULL""")
+@query("field_summary", f"""WITH {_REC} SELECT COUNT(*) AS vendors, CAST(SUM(items) AS BIGINT) AS items, arg_min(vendor, savings_pct) AS closest, arg_max(vendor, savings_pct) AS furthest, ROUND(AVG(savings), 3) AS average_savings, ROUND(AVG(savings_pct), 4) AS average_savings_pct FROM s WHERE g IS NULL""")
 def field_summary(spark, sf):
     return Q.field_summary(summary(spark, sf)).withColumn("average_savings", r("average_savings")).withColumn("average_savings_pct", r("average_savings_pct", 4))
 
 
-@query("benchmark_totals", f"""WITH {_REC} SELECT ROUND(SUM(original), 2) AS original, ROUND(SUM(normalized), 2) AS normalized, ROUND(SUM(savings), 2) AS savings, CAST(SUM(quantity_over + material_over + labour_over) AS BIGINT) AS over, CAST(SUM(items) AS BIGINT) AS items FROM s WHERE g IS NULL""")
+@query("benchmark_totals", f"""WITH {_REC} SELECT ROUND(SUM(original), 3) AS original, ROUND(SUM(normalized), 3) AS normalized, ROUND(SUM(savings), 3) AS savings, CAST(SUM(quantity_over + material_over + labour_over) AS BIGINT) AS over, CAST(SUM(items) AS BIGINT) AS items FROM s WHERE g IS NULL""")
 def benchmark_totals(spark, sf):
     out = Q.benchmark_totals(summary(spark, sf))
     return out.select(r("original").alias("original"), r("normalized").alias("normalized"), r("savings").alias("savings"), "over", "items")
@@ -117,7 +123,7 @@ def tolerance(spark, sf):
 
 
 @query("reconcile", f"""WITH {_REC}, t AS (SELECT vendor, SUM(normalized) FILTER (NOT parent) AS n, SUM(COALESCE(mn, 0) * qp) FILTER (NOT parent) AS st FROM m GROUP BY 1)
-SELECT vendor, ROUND(n, 2) AS normalized, ROUND(st, 2) AS stated_normalized, ROUND(n - st, 2) AS difference, ROUND((n - st) / st * 100, 4) AS difference_pct FROM t""")
+SELECT vendor, ROUND(n, 3) AS normalized, ROUND(st, 3) AS stated_normalized, ROUND(n - st, 3) AS difference, ROUND((n - st) / st * 100, 4) AS difference_pct FROM t""")
 def reconcile(spark, sf):
     rows = records(spark, sf).withColumn("total_normalized", F.coalesce("material_normalized", F.lit(0.0)) * F.col("quantity_proposal"))
     rows = rows.withColumn("total_normalized", F.when(~F.col("parent"), F.col("total_normalized")))
@@ -163,7 +169,7 @@ def vendor_map(spark, sf):
 
 @query("to_long", """
 SELECT upper(substr(p_type, 1, 2)) || '_' || p_type AS sheet, p_partkey + 3 AS row, vendor, upper(substr(p_type, 1, 2)) AS "group", p_brand AS category, p_name AS item, CASE WHEN p_partkey % 9 = 0 THEN 'out_of_scope' END AS note,
- CAST(p_size AS DOUBLE) AS quantity_benchmark, ROUND(CASE vendor WHEN 'AAA' THEN p_size ELSE p_size * 1.2 END, 2) AS quantity_proposal, ROUND(p_retailprice, 2) AS material_benchmark,
+ CAST(p_size AS DOUBLE) AS quantity_benchmark, ROUND(CASE vendor WHEN 'AAA' THEN p_size ELSE p_size * 1.2 END::DOUBLE, 3) AS quantity_proposal, ROUND(p_retailprice, 3) AS material_benchmark,
  ROUND(CASE vendor WHEN 'AAA' THEN p_retailprice * 2 ELSE p_retailprice END, 1) AS material_proposal, CASE vendor WHEN 'AAA' THEN 50.0 ELSE 52.5 END::DOUBLE AS labour_proposal, TRUE AS priced, FALSE AS parent FROM part, (VALUES ('AAA'), ('BBB')) v(vendor)""")
 def to_long(spark, sf):
     grid, skipped = Q.drop_aggregate_sheets(bill_grid(spark, sf))

@@ -1,4 +1,4 @@
-"""Bid comparison and estimates: bidder = supplier % 8, line = part, value = average unit price."""
+"""Bid comparison and estimates: bidder = supplier % 8, line = part, value = summed price (whole cents, so rounding never ties)."""
 
 from pyspark.sql import functions as F
 
@@ -12,11 +12,11 @@ PARTIES = [f"B{i}" for i in range(8)]
 def bid_lines(spark, sf):
     l = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     g = l.groupBy(F.col("l_partkey").alias("line"), F.col("p_type").alias("category"), (F.col("l_suppkey") % 8).alias("party_order")).agg(
-        F.avg("l_extendedprice").alias("total"), F.avg(F.col("l_extendedprice") * .7).alias("material"))
+        F.sum("l_extendedprice").alias("total"), F.sum("l_quantity").alias("material"))
     return g.withColumn("party", F.concat(F.lit("B"), F.col("party_order").cast("string"))).withColumn("labour", F.lit(None).cast("double")).withColumn("item", F.col("line").cast("string"))
 
 
-_BIDS = """b AS (SELECT l_partkey AS line, p_type AS category, l_suppkey % 8 AS party_order, 'B' || (l_suppkey % 8) AS party, AVG(l_extendedprice) AS total, AVG(l_extendedprice * .7) AS material
+_BIDS = """b AS (SELECT l_partkey AS line, p_type AS category, l_suppkey % 8 AS party_order, 'B' || (l_suppkey % 8) AS party, SUM(l_extendedprice) AS total, SUM(l_quantity) AS material
  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4),
 t AS (SELECT party, party_order, SUM(total) AS total, SUM(material) AS material, COUNT(*) AS priced FROM b GROUP BY 1, 2),
 c AS (SELECT line, category, MIN(total) AS low, MAX(total) AS high, arg_min(party, total) AS low_party, arg_max(party, total) AS high_party FROM b GROUP BY 1, 2 HAVING COUNT(*) = (SELECT COUNT(*) FROM t)),
@@ -67,10 +67,10 @@ def category_matrix(spark, sf):
 
 
 @query("stated_total", f"""WITH {_BIDS}
-SELECT party, ROUND(CASE WHEN party = 'B3' THEN total * 1.01 ELSE total END, 2) AS stated, ROUND(total, 2) AS total, party = 'B3' AS differs FROM t""")
+SELECT party, ROUND(CASE WHEN party = 'B3' THEN total * 2 ELSE total END, 2) AS stated, ROUND(total, 2) AS total, party = 'B3' AS differs FROM t""")
 def stated_total(spark, sf):
     totals = B.party_totals(bid_lines(spark, sf))
-    value = F.when(F.col("party") == "B3", F.col("total") * 1.01).otherwise(F.col("total"))
+    value = F.when(F.col("party") == "B3", F.col("total") * 2).otherwise(F.col("total"))
     rows = totals.select("party", F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias(ROW), F.lit(label).alias("label"), v.alias("value")) for i, (label, v) in enumerate(
         (("Total zone A", value / 2), ("Grand Total", value - 1), ("Grand total of the project", value), ("Grand total VAT 7%", value * 1.07)))])).alias("x")).select("party", "x.*")
     return B.stated_total(rows, totals.select("party", "total")).withColumn("stated", r("stated")).withColumn("total", r("total"))
@@ -136,13 +136,13 @@ def classify_table(spark, sf):
 
 def estimate_lines(spark, sf):
     l = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    g = l.groupBy(F.col("l_partkey").alias("line"), F.col("p_type").alias("category")).agg(F.sum("l_extendedprice").alias("m"), F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("lab"))
+    g = l.groupBy(F.col("l_partkey").alias("line"), F.col("p_type").alias("category")).agg(F.sum("l_extendedprice").alias("m"), F.sum("l_quantity").alias("lab"))
     keep = F.col("line") % 11 != 0
     return g.select("line", "category", F.when(keep, F.col("m") + F.col("lab")).alias("total"), F.when(keep, F.col("m")).alias("material"), F.when(keep, F.col("lab")).alias("labour"))
 
 
-_EST = """e AS (SELECT l_partkey AS line, p_type AS category, CASE WHEN l_partkey % 11 <> 0 THEN SUM(l_extendedprice) + SUM(l_extendedprice * l_tax) END AS total,
- CASE WHEN l_partkey % 11 <> 0 THEN SUM(l_extendedprice) END AS material, CASE WHEN l_partkey % 11 <> 0 THEN SUM(l_extendedprice * l_tax) END AS labour FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+_EST = """e AS (SELECT l_partkey AS line, p_type AS category, CASE WHEN l_partkey % 11 <> 0 THEN SUM(l_extendedprice) + SUM(l_quantity) END AS total,
+ CASE WHEN l_partkey % 11 <> 0 THEN SUM(l_extendedprice) END AS material, CASE WHEN l_partkey % 11 <> 0 THEN SUM(l_quantity) END AS labour FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 
 
 @query("estimate_totals", f"""WITH {_EST} SELECT ROUND(SUM(total), 2) AS total, ROUND(SUM(material), 2) AS material, ROUND(SUM(labour), 2) AS labour, ROUND(SUM(material) / SUM(total) * 100, 4) AS material_share,

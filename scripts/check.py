@@ -32,6 +32,11 @@ def rows(names, records):
     return sorted([tuple(canon(rec[i]) for i in order) for rec in records], key=lambda t: tuple("" if x is None else x for x in t))
 
 
+def kinds(names, records):
+    """Python types seen in each column: a strict comparer tells 1 from 1.0."""
+    return {n: {type(rec[i]).__name__ for rec in records if rec[i] is not None} for i, n in enumerate(names)}
+
+
 def main():
     from tabscope.session import local_session
     entry = importlib.import_module("__spark_entry__")
@@ -57,8 +62,13 @@ def main():
                 continue
             cur = con.execute(oracle[name])
             names = [d[0] for d in cur.description]
-            want = rows(names, cur.fetchall())
+            fetched = cur.fetchall()
+            want = rows(names, fetched)
             have = rows(df.columns, got)
+            a, b = kinds(df.columns, got), kinds(names, fetched)
+            apart = {n: (a[n], b[n]) for n in a if n in b and a[n] and b[n] and a[n] != b[n]}
+            if apart:
+                print(f"TYPES {name}: {apart}")
             if sorted(names) != sorted(df.columns):
                 print(f"COLS  {name}: {sorted(df.columns)} vs {sorted(names)}")
                 bad += 1

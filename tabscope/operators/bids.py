@@ -54,7 +54,6 @@ def read_roles(columns: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     def first(condition: Column) -> Column:
         return F.min(F.when(condition, F.col("position"))).over(table)
-    free = lambda *taken: ~F.coalesce(F.col("position").isin(*[F.col(t) for t in taken]), F.lit(False))
     c = c.withColumn("_cat", first(textual & _matches(F.col("name"), V.BID_CATEGORY)))
     c = c.withColumn("_unit", first(textual & ~F.col("position").eqNullSafe(F.col("_cat")) & _matches(F.col("name"), V.BID_UNIT)))
     free2 = ~F.col("position").eqNullSafe(F.col("_cat")) & ~F.col("position").eqNullSafe(F.col("_unit"))

@@ -20,6 +20,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -174,6 +175,33 @@ def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)])).astype(np.int64)
 
 
+PROBES = "shard int, pack string, n int, keys binary, marks binary"
+PROBE_SCHEMA = pa.schema([("shard", pa.int32()), ("pack", pa.string()), ("n", pa.int32()), ("keys", pa.binary()), ("marks", pa.binary())])
+
+
+def key_slices(pack: Pack, keys: np.ndarray, marks: np.ndarray, shards: int) -> dict:
+    """Sorted distinct keys and a number for each, as one row per shard."""
+    cuts = shard_cuts(keys, shards)
+    full = np.flatnonzero(np.diff(cuts))
+    return {"shard": full.tolist(), "pack": [pack.name] * len(full), "n": [int(cuts[s + 1] - cuts[s]) for s in full],
+            "keys": [squeeze_sorted(keys[cuts[s]:cuts[s + 1]]) for s in full],
+            "marks": [squeeze(marks[cuts[s]:cuts[s + 1]]) for s in full]}
+
+
+def gather_keys(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's keys with the place of the row each is from and its mark."""
+    keys = [unsqueeze_sorted(k, n) for k, n in zip(rows["keys"], rows["n"])]
+    marks = [unsqueeze(m, n) for m, n in zip(rows["marks"], rows["n"])]
+    return np.concatenate(keys), np.repeat(np.arange(len(rows)), rows["n"]), np.concatenate(marks)
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First position of each run of equal sorted keys, and each key's run."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def with_answers(packs: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     """Each pack with its answers as one array ``name``: as many entries as it has shards."""
     fields = [c for c in answers.columns if c != "pack"]

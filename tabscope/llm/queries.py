@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, simhash, substrings, warc
+from tabscope.llm import bpe, language_model, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op2_warc_revisit(spark, sf):
     return warc.deduplicate(table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op7_elias_fano_lm")
+def op7_elias_fano_lm(spark, sf):
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return language_model.train_and_score(table(spark, sf, "documents"), training)
+
+
 @query("op8_substring_dedup", r"""
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
      starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split WHERE len(words) >= 13),

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from tabscope.llm import common as C
 
 LOW_BITS = np.uint64(20)
-PROBES = "shard int, pack string, n int, keys binary, marks binary"
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -35,24 +34,6 @@ def _doc_order(pack: C.Pack) -> np.ndarray:
     return np.array([NO_ID if d is None else d for d in pack.doc_ids], dtype=np.int64)
 
 
-def _slices(pack, keys, marks, shards):
-    cuts = C.shard_cuts(keys, shards)
-    full = np.flatnonzero(np.diff(cuts))
-    return {"shard": full.tolist(), "pack": [pack.name] * len(full), "n": [int(cuts[s + 1] - cuts[s]) for s in full],
-            "keys": [C.squeeze_sorted(keys[cuts[s]:cuts[s + 1]]) for s in full],
-            "marks": [C.squeeze(marks[cuts[s]:cuts[s + 1]]) for s in full]}
-
-
-_SCHEMA = pa.schema([("shard", pa.int32()), ("pack", pa.string()), ("n", pa.int32()), ("keys", pa.binary()), ("marks", pa.binary())])
-
-
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First position of each run of equal sorted keys, and each key's run."""
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    return np.flatnonzero(new), np.cumsum(new) - 1
-
-
 def anchor_probes(packs: DataFrame, block: int, shards: int) -> DataFrame:
     """Every pack's distinct rolling grams; mark 1: a grid block, mark 2: in two documents of the pack."""
     def probe(batches):
@@ -63,21 +44,14 @@ def anchor_probes(packs: DataFrame, block: int, shards: int) -> DataFrame:
             grid = (at - pack.starts[owner]) % block == 0
             order = np.argsort(keys, kind="stable")  # stable: owners rise within a key
             keys, owner, grid = keys[order], owner[order], grid[order]
-            first, _ = _runs(keys)
+            first, _ = C.runs(keys)
             if not len(first):
                 continue
             last = np.append(first[1:], len(keys)) - 1
             marks = np.maximum.reduceat(grid, first) + 2 * (owner[first] != owner[last])
-            yield pa.RecordBatch.from_pydict(_slices(pack, keys[first], marks, shards), schema=_SCHEMA)
-
-    return packs.mapInArrow(probe, PROBES)
-
+            yield pa.RecordBatch.from_pydict(C.key_slices(pack, keys[first], marks, shards), schema=C.PROBE_SCHEMA)
 
-def _gather(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's keys with the place of the pack each is from and its mark."""
-    keys = [C.unsqueeze_sorted(k, n) for k, n in zip(rows["keys"], rows["n"])]
-    marks = [C.unsqueeze(m, n) for m, n in zip(rows["marks"], rows["n"])]
-    return np.concatenate(keys), np.repeat(np.arange(len(rows)), rows["n"]), np.concatenate(marks)
+    return packs.mapInArrow(probe, C.PROBES)
 
 
 def _answer(rows: pd.DataFrame, keys, source, chosen) -> pd.DataFrame:
@@ -96,9 +70,9 @@ ANSWERS = "pack string, shard int, n int, keys binary"
 def anchors(probes: DataFrame) -> DataFrame:
     """For each pack, those of its grams that are a grid block somewhere and occur in two documents."""
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, source, marks = _gather(rows)
+        keys, source, marks = C.gather_keys(rows)
         order = np.argsort(keys, kind="stable")
-        first, run = _runs(keys[order])
+        first, run = C.runs(keys[order])
         seen = np.bitwise_or.reduceat(marks[order], first)
         many = np.diff(np.append(first, len(keys))) > 1
         good = (seen & 1).astype(bool) & (many | (seen >= 2))
@@ -138,25 +112,25 @@ def window_probes(packs: DataFrame, block: int, window: int, shards: int) -> Dat
             keys, ids = C.gram_hashes(words, window)[at], _doc_order(pack)[pack.owners()[at]]
             order = np.argsort(keys)
             keys, ids = keys[order], ids[order]
-            first, _ = _runs(keys)
+            first, _ = C.runs(keys)
             least = np.minimum.reduceat(ids, first)
             shifted = (least.astype(np.uint64) ^ np.uint64(1 << 63))  # signed order as unsigned order
             base = shifted.min()
-            rows = _slices(pack, keys[first], shifted - base, shards)
+            rows = C.key_slices(pack, keys[first], shifted - base, shards)
             rows["base"] = [int(base) - (1 << 63)] * len(rows["shard"])
-            yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA.append(pa.field("base", pa.int64())))
+            yield pa.RecordBatch.from_pydict(rows, schema=C.PROBE_SCHEMA.append(pa.field("base", pa.int64())))
 
-    return packs.mapInArrow(probe, PROBES + ", base bigint")
+    return packs.mapInArrow(probe, C.PROBES + ", base bigint")
 
 
 def repeats(probes: DataFrame) -> DataFrame:
     """For each pack, its windows that also start in a smaller document of another pack."""
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, source, marks = _gather(rows)
+        keys, source, marks = C.gather_keys(rows)
         ids = marks + rows["base"].to_numpy().astype(np.uint64)[source]  # wraps around
         ids = ids.view(np.int64)
         order = np.argsort(keys, kind="stable")
-        first, run = _runs(keys[order])
+        first, run = C.runs(keys[order])
         least = np.minimum.reduceat(ids[order], first)
         chosen = np.zeros(len(keys), dtype=bool)
         chosen[order] = least[run] < ids[order]
@@ -177,7 +151,7 @@ def cut_repeats(packs: DataFrame, window: int) -> DataFrame:
             gone = _held(keys[at], _keys_of(row["answers"])) & (ids[owner[at]] != NO_ID)
             order = np.argsort(keys[at], kind="stable")
             if len(order):  # repeats between documents of this pack
-                first, run = _runs(keys[at][order])
+                first, run = C.runs(keys[at][order])
                 least = np.minimum.reduceat(ids[owner[at]][order], first)
                 gone[order] |= (least[run] < ids[owner[at]][order]) & (ids[owner[at]][order] != NO_ID)
             edge = np.zeros(len(pack.tokens) + 1, dtype=np.int64)

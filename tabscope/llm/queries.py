@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, contamination, language_model, line_templates, quality, simhash, substrings, warc
+from tabscope.llm import bpe, contamination, language_model, licenses, line_templates, neighbours, quality, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,12 +45,23 @@ def op2_warc_revisit(spark, sf):
     return warc.deduplicate(table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op3_license_compression")
+def op3_license_compression(spark, sf):
+    found = licenses.scan_licenses(table(spark, sf, "documents"))
+    return found.select("doc_id", "license", "first_word", "last_word", F.round("saved", 6).alias("saved"), "edits", F.array_join("changes", "; ").alias("changes"))
+
+
 @query("op4_importance_resampling")
 def op4_importance_resampling(spark, sf):
     drawn = quality.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return drawn.select("doc_id", "weight", "weight_key")
 
 
+@query("op5_stable_projections")
+def op5_stable_projections(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op6_pigeonhole_decontamination")
 def op6_pigeonhole_decontamination(spark, sf):
     return contamination.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

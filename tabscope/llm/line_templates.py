@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from tabscope.llm import common as C
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"
+DIGITS = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 ANY = "<*>"
 
 
@@ -28,9 +29,11 @@ def _lines(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
     longest = F.slice(F.reverse(F.array_sort(F.transform(F.array_distinct("lines"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))), 1, 2)
     base = base.select("row", "lines", longest["x"].alias("top"))
     rows = base.select("row", "top", F.posexplode("lines").alias("line", "own"))
-    words = F.transform(F.regexp_extract_all("own", F.lit(WORD), F.lit(0)), lambda w: F.when(w.rlike("[0-9]"), ANY).otherwise(w))
+    # Whole lines are masked and split at once: no function runs word by word.
+    masked = F.when(F.col("own").rlike("[0-9]"), F.regexp_replace("own", DIGITS, ANY)).otherwise(F.col("own"))
+    words = F.split(F.btrim(masked, F.lit(" \t\x0b\x0c\r")), SPACE, -1)
     companion = F.when(F.col("own") != F.get("top", F.lit(0)), F.get("top", F.lit(0))).otherwise(F.get("top", F.lit(1)))
-    rows = rows.select("row", "line", F.xxhash64(F.coalesce(companion, F.lit(""))).alias("companion"), words.alias("words")).filter(F.size("words") > 0)
+    rows = rows.select("row", "line", F.xxhash64(F.coalesce(companion, F.lit(""))).alias("companion"), words.alias("words")).filter(F.get("words", F.lit(0)) != "")
     return rows.select("row", "line", F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"), "companion", "words")
 
 

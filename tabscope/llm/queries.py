@@ -53,7 +53,7 @@ def op3_license_compression(spark, sf):
 
 @query("op4_importance_resampling")
 def op4_importance_resampling(spark, sf):
-    drawn = quality.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    drawn = quality.resample(table(spark, sf, "documents"), table(spark, sf, "labels"), columns=("doc_id",))
     return drawn.select("doc_id", "weight", "weight_key")
 
 

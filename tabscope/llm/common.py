@@ -63,6 +63,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def mix(keys: np.ndarray) -> np.ndarray:
     """Spread 64-bit keys evenly (the finaliser of MurmurHash3)."""
     keys = keys ^ (keys >> np.uint64(33))

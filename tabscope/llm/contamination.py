@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.llm import common as C
+
 SLICE = 4_000_000
 RATE = 0.05
 _GAP = re.compile(r"[\W_]+")
@@ -151,5 +153,6 @@ def find_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 def without_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold no item.  Rows of one id go together; rows without an id are
     kept only if none of them holds one."""
-    found = find_passages(docs, items, doc_id, text, item_id, item_text, rate).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_found")), "left_anti")
+    name = C.fresh(docs, "_found")
+    found = find_passages(docs, items, doc_id, text, item_id, item_text, rate).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col(doc_id).cast("bigint").eqNullSafe(F.col(name)), "left_anti")

@@ -2,8 +2,8 @@
 
 Lines go down a tree of fixed depth: first by number of words, then by their leading words, words
 with digits standing as ``<*>``.  In a leaf, a place is *variable* if no word fills it in half of
-the leaf's lines; variable places become ``<*>`` too, unless that would leave too few fixed words
-(then the line keeps its own words).  What results is the line's template.
+the leaf's lines; variable places become ``<*>`` too.  What results is the line's template, as long
+as enough of its words are fixed; else the line is masked for digits only, or stands as it is.
 
 A template is dropped wherever it stands if it recurs in documents that otherwise differ: in at
 least ``min_docs`` of them, and with at least half as many different *companions*, the longest
@@ -24,17 +24,19 @@ ANY = "<*>"
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
-    """``row, line, leaf, companion, words``: one row per line with words."""
+    """``row, line, leaf, companion, raw, words``: one row per line with words, which are masked for digits."""
     base = docs.select(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("row"), F.split(F.col(text), "\n", -1).alias("lines"))
     longest = F.slice(F.reverse(F.array_sort(F.transform(F.array_distinct("lines"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))), 1, 2)
     base = base.select("row", "lines", longest["x"].alias("top"))
     rows = base.select("row", "top", F.posexplode("lines").alias("line", "own"))
     # Whole lines are masked and split at once: no function runs word by word.
     masked = F.when(F.col("own").rlike("[0-9]"), F.regexp_replace("own", DIGITS, ANY)).otherwise(F.col("own"))
-    words = F.split(F.btrim(masked, F.lit(" \t\x0b\x0c\r")), SPACE, -1)
+    def parts(line):
+        return F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), SPACE, -1)
+
     companion = F.when(F.col("own") != F.get("top", F.lit(0)), F.get("top", F.lit(0))).otherwise(F.get("top", F.lit(1)))
-    rows = rows.select("row", "line", F.xxhash64(F.coalesce(companion, F.lit(""))).alias("companion"), words.alias("words")).filter(F.get("words", F.lit(0)) != "")
-    return rows.select("row", "line", F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"), "companion", "words")
+    rows = rows.select("row", "line", F.xxhash64(F.coalesce(companion, F.lit(""))).alias("companion"), parts(F.col("own")).alias("raw"), parts(masked).alias("words")).filter(F.get("words", F.lit(0)) != "")
+    return rows.select("row", "line", F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"), "companion", "raw", "words")
 
 
 def recurring_lines(docs: DataFrame, room: str, doc_id: str = "doc_id", text: str = "text", depth: int = 3, fixed: float = 0.6, min_docs: int = 3) -> DataFrame:
@@ -47,9 +49,12 @@ def recurring_lines(docs: DataFrame, room: str, doc_id: str = "doc_id", text: st
               .groupBy("leaf", "place").agg(F.max("n").alias("most"), F.sum("n").alias("all")))
     variable = places.filter("2 * most < all").groupBy("leaf").agg(F.collect_list("place").alias("free"))
     marked = held.join(variable, "leaf", "left")
-    enough = F.size("words") - F.size("free") >= F.lit(fixed) * F.size("words")
-    general = F.transform("words", lambda w, i: F.when(F.array_contains("free", i), ANY).otherwise(w))
-    template = F.when(F.col("free").isNotNull() & enough, general).otherwise(F.col("words"))
+    general = F.when(F.col("free").isNull(), F.col("words")).otherwise(F.transform("words", lambda w, i: F.when(F.array_contains("free", i), ANY).otherwise(w)))
+
+    def enough(words):
+        return F.size(F.filter(words, lambda w: w != ANY)) >= F.lit(fixed) * F.size(words)
+
+    template = F.when(enough(general), general).when(enough(F.col("words")), F.col("words")).otherwise(F.col("raw"))
     marked = C.stored(marked.select("row", "line", "companion", F.md5(F.encode(F.array_join(template, " "), "UTF-8")).alias("template")), f"{room}/templates")
     counts = marked.groupBy("template").agg(F.count_distinct("row").alias("docs"), F.count_distinct("companion").alias("companions"))
     often = C.stored(counts.filter((F.col("docs") >= min_docs) & (F.col("companions") >= min_docs) & (2 * F.col("companions") >= F.col("docs"))).select("template"), f"{room}/often")
@@ -67,10 +72,10 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     room = C.workroom(docs.sparkSession, "lines")
     gone = C.stored(recurring_lines(docs, room, doc_id, text, depth, fixed, min_docs), f"{room}/gone").groupBy("row").agg(F.collect_set("line").alias("gone"))
-    gone = gone.select(F.col("row").alias("_row"), F.col("gone").alias("_gone"))
-    joined = docs.withColumn("_row", F.xxhash64(F.col(doc_id).cast("string"), F.col(text))).join(gone, "_row", "left")
+    row, out = C.fresh(docs, "_row"), C.fresh(docs, "_gone")
+    joined = docs.withColumn(row, F.xxhash64(F.col(doc_id).cast("string"), F.col(text))).join(gone.select(F.col("row").alias(row), F.col("gone").alias(out)), row, "left")
     lines = F.split(F.col(text), "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
+    left = F.filter(lines, lambda x, i: ~F.array_contains(out, i))
     return (joined.withColumn("lines_before", F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("bigint"))
-            .withColumn("lines_dropped", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("bigint"))
-            .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).drop("_row", "_gone"))
+            .withColumn("lines_dropped", F.when(F.col(out).isNull(), F.lit(0)).otherwise(F.size(out)).cast("bigint"))
+            .withColumn(text, F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).drop(row, out))

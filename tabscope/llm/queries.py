@@ -94,17 +94,18 @@ WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
      own AS (SELECT doc_id, unnest(lines) AS own, unnest(range(len(lines))) AS line FROM docs),
      ranked AS (SELECT doc_id, own, row_number() OVER (PARTITION BY doc_id ORDER BY length(own) DESC, own DESC) AS r FROM (SELECT DISTINCT doc_id, own FROM own)),
      cut AS (SELECT doc_id, line, own, regexp_extract_all(own, '[^\x20\x09-\x0D]+') AS raw FROM own),
-     masked AS (SELECT doc_id, line, own, list_transform(raw, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS words FROM cut WHERE len(raw) > 0),
-     met AS (SELECT m.doc_id, line, words, CASE WHEN m.own <> a.own THEN a.own ELSE coalesce(b.own, '') END AS companion, {'n': len(words), 'head': words[1:3]} AS leaf
+     masked AS (SELECT doc_id, line, own, raw, list_transform(raw, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS words FROM cut WHERE len(raw) > 0),
+     met AS (SELECT m.doc_id, line, raw, words, CASE WHEN m.own <> a.own THEN a.own ELSE coalesce(b.own, '') END AS companion, {'n': len(words), 'head': words[1:3]} AS leaf
              FROM masked m JOIN ranked a ON m.doc_id = a.doc_id AND a.r = 1 LEFT JOIN ranked b ON m.doc_id = b.doc_id AND b.r = 2),
      leaves AS (SELECT leaf FROM met GROUP BY leaf HAVING count(*) >= 3),
      held AS (SELECT met.* FROM met JOIN leaves USING (leaf)),
      places AS (SELECT leaf, place, max(n) AS most, sum(n) AS total FROM
                 (SELECT leaf, place, word, count(*) AS n FROM (SELECT leaf, unnest(words) AS word, unnest(range(len(words))) AS place FROM held) GROUP BY ALL) GROUP BY leaf, place),
      variable AS (SELECT leaf, list(place) AS free FROM places WHERE 2 * most < total GROUP BY leaf),
-     marked AS (SELECT doc_id, line, companion, CASE WHEN free IS NOT NULL AND len(words) - len(free) >= 0.6 * len(words)
-                       THEN list_transform(words, lambda w, i: CASE WHEN list_contains(free, i - 1) THEN '<*>' ELSE w END) ELSE words END AS template
-                FROM held LEFT JOIN variable USING (leaf)),
+     general AS (SELECT doc_id, line, companion, raw, words, list_transform(words, lambda w, i: CASE WHEN list_contains(coalesce(free, []), i - 1) THEN '<*>' ELSE w END) AS wide
+                 FROM held LEFT JOIN variable USING (leaf)),
+     marked AS (SELECT doc_id, line, companion, CASE WHEN len(list_filter(wide, lambda w: w <> '<*>')) >= 0.6 * len(wide) THEN wide
+                       WHEN len(list_filter(words, lambda w: w <> '<*>')) >= 0.6 * len(words) THEN words ELSE raw END AS template FROM general),
      often AS (SELECT template FROM marked GROUP BY template HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT companion) >= 3 AND 2 * count(DISTINCT companion) >= count(DISTINCT doc_id)),
      gone AS (SELECT doc_id, line FROM marked JOIN often USING (template)),
      kept AS (SELECT doc_id, string_agg(own, chr(10) ORDER BY line) AS text, count(*) AS n FROM own ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id)

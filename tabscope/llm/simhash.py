@@ -232,5 +232,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, most: int = 4) -> DataFrame:
     """The documents of ``docs`` whose id names their class.  Of rows repeating that id all stay
     but exact repeats of the text; rows without an id stay only in classes without one."""
-    found = near_duplicates(docs, doc_id, text, size, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([doc_id, text])
+    kept = C.fresh(docs, "_kept")
+    found = near_duplicates(docs, doc_id, text, size, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(found, F.col(doc_id).cast("bigint").eqNullSafe(F.col(kept)), "left_semi").dropDuplicates([doc_id, text])

@@ -120,7 +120,7 @@ def merge_questions(questions: list[Question]) -> list[Question]:
 
 
 def ask_many(df: DataFrame, questions: list[Question], columns: dict[str, ColumnInfo] | None = None) -> list[Answer]:
-    """Up to 12 questions; one that does not fit fails alone, with a message."""
+    """Up to 12 questions; one that does not fit, or comes after the twelfth, fails alone, with a message."""
     columns = columns or columns_from_schema(df)
     answers = []
     for question in merge_questions(list(questions)[:V.MAX_QUESTIONS]):
@@ -128,6 +128,7 @@ def ask_many(df: DataFrame, questions: list[Question], columns: dict[str, Column
             answers.append(ask(df, question, columns))
         except SpecError as error:
             answers.append(Answer(question, error=str(error), columns=columns))
+    answers += [Answer(q, error=f"more than {V.MAX_QUESTIONS} questions in one batch", columns=columns) for q in list(questions)[V.MAX_QUESTIONS:]]
     return answers
 
 

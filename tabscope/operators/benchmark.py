@@ -170,7 +170,8 @@ def match_vendor_sheets(lines: DataFrame) -> DataFrame:
     """
     used = lines.filter("quantity is not null and quantity <> 0")
     placed = running(used, SHEET, "row_number", sums={"pos": F.lit(1)})
-    signature = F.xxhash64("item", "quantity", "material", "labour")
+    # Named fields: a hash of the bare columns would skip nulls and mix up the two prices.
+    signature = F.xxhash64(F.to_json(F.struct("item", "quantity", "material", "labour")))
     signed = placed.select(*SHEET, "pos", signature.alias("sig"))
     # Order-free digest of (position, signature): equal sheets get equal digests.
     digests = signed.groupBy(*SHEET).agg(F.sum(F.xxhash64("pos", "sig").cast("decimal(38,0)")).alias("d"), F.count(F.lit(1)).alias("n"))

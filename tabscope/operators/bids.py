@@ -32,10 +32,10 @@ def _axis(c: Column) -> Column:
 
 
 def clean_party(c: Column) -> Column:
-    """Repeated neighbouring words collapse; at most 80 characters."""
+    """Repeated neighbouring words collapse; the name stays whole, so bidders are never merged by a prefix."""
     words = F.split(one_line(c), " ")
     kept = F.filter(F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), w)), lambda w: w.isNotNull())
-    return F.substring(F.array_join(kept, " "), 1, PARTY_LENGTH)
+    return F.array_join(kept, " ")
 
 
 def read_roles(columns: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -114,11 +114,11 @@ def section_category(rows: DataFrame, group: list[str], order: str = ROW) -> Dat
     names the rows below; an explicit category wins.  ``rows``: label, quantity, priced,
     category_text and optionally _is_summary (left out)."""
     kept = rows.filter(~F.col("_is_summary")) if "_is_summary" in rows.columns else rows
-    explicit = F.when(~is_blank("category_text"), F.substring(tidy("category_text"), 1, LABEL_LENGTH))
+    explicit = F.when(~is_blank("category_text"), tidy("category_text"))
     has_label = ~is_blank("label")
     heading = explicit.isNull() & has_label & ~F.col("priced") & F.col("quantity").isNull()
     marked = kept.withColumn("_heading", heading)
-    filled = running(marked, group, order, fills={"category": F.coalesce(explicit, F.when(heading, F.substring(tidy("label"), 1, LABEL_LENGTH)))})
+    filled = running(marked, group, order, fills={"category": F.coalesce(explicit, F.when(heading, tidy("label")))})
     return (filled.filter(~F.col("_heading") & (has_label | F.col("priced"))).drop("_heading")
             .withColumn("category", F.coalesce("category", F.lit(V.NO_CATEGORY))))
 
@@ -230,7 +230,7 @@ def classify_table(roles: DataFrame, lines: DataFrame, keys: list[str] | None =
     estimate = enough & (F.col("single") == 1) & (F.col("quantity") == 1) & ((F.col("unit") == 1) | (F.coalesce("rate", F.lit(0)) == 1))
     kind = F.when(comparison, "comparison").when(estimate, "estimate").otherwise("general")
     ranked = base.select(*keys, kind.alias("kind"), F.coalesce("priced_lines", F.lit(0)).alias("priced_lines"))
-    best = ranked.filter("kind <> 'general'").agg(F.max_by(F.struct(*keys), F.struct((F.col("kind") == "comparison").alias("a"), "priced_lines")).alias("k")).scalar()
+    best = ranked.filter("kind <> 'general'").agg(F.max_by(F.struct(*keys), F.struct((F.col("kind") == "comparison").alias("a"), "priced_lines", *keys)).alias("k")).scalar()
     return ranked.withColumn("_k", best).withColumn("preferred", F.struct(*keys).eqNullSafe(F.col("_k"))).drop("_k")
 
 

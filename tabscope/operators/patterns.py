@@ -42,8 +42,8 @@ def category_mean(df: DataFrame, dimension: str, measure: str) -> DataFrame:
 
 def best_and_worst(means: DataFrame) -> DataFrame:
     """``best, best_mean, worst, worst_mean, groups`` of a ``category_mean`` table."""
-    return means.agg(F.max_by("label", F.struct("mean")).alias("best"), F.max("mean").alias("best_mean"),
-                     F.min_by("label", F.struct("mean")).alias("worst"), F.min("mean").alias("worst_mean"), F.count(F.lit(1)).alias("groups"))
+    return means.agg(F.max_by("label", F.struct("mean", "label")).alias("best"), F.max("mean").alias("best_mean"),
+                     F.min_by("label", F.struct("mean", "label")).alias("worst"), F.min("mean").alias("worst_mean"), F.count(F.lit(1)).alias("groups"))
 
 
 def trend_unit(first, last) -> tuple[str, int]:

@@ -13,42 +13,66 @@ to the operators that find copies, while navigation, notices and boilerplate go.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.llm import common as C
 
-SPACE = r"[\x20\x09-\x0D]+"
-DIGITS = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+BLANKS = "\t\x0b\x0c\r"
+DIGITS = r"[^ ]*[0-9][^ ]*"
 ANY = "<*>"
+#: Parts of the rows of one leaf or template, so that a very common line is not one task's work.
+SALTS = 16
+
+
+def _words(plain: Column) -> Column:
+    return F.split(plain, " ", -1)
+
+
+def _masked(plain: Column) -> Column:
+    """The line with words that hold digits masked; whole lines at once, not word by word."""
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, DIGITS, ANY)).otherwise(plain)
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
-    """``row, line, leaf, companion, raw, words``: one row per line with words, which are masked for digits."""
+    """``row, line, leaf, companion, plain``: one row per line with words; ``plain`` has single spaces."""
     base = docs.select(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("row"), F.split(F.col(text), "\n", -1).alias("lines"))
     longest = F.slice(F.reverse(F.array_sort(F.transform(F.array_distinct("lines"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))), 1, 2)
     base = base.select("row", "lines", longest["x"].alias("top"))
     rows = base.select("row", "top", F.posexplode("lines").alias("line", "own"))
-    # Whole lines are masked and split at once: no function runs word by word.
-    masked = F.when(F.col("own").rlike("[0-9]"), F.regexp_replace("own", DIGITS, ANY)).otherwise(F.col("own"))
-    def parts(line):
-        return F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), SPACE, -1)
-
     companion = F.when(F.col("own") != F.get("top", F.lit(0)), F.get("top", F.lit(0))).otherwise(F.get("top", F.lit(1)))
-    rows = rows.select("row", "line", F.xxhash64(F.coalesce(companion, F.lit(""))).alias("companion"), parts(F.col("own")).alias("raw"), parts(masked).alias("words")).filter(F.get("words", F.lit(0)) != "")
-    return rows.select("row", "line", F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"), "companion", "raw", "words")
+    # Most lines have single spaces only and need no pattern.
+    blank = reduce(or_, [F.col("own").contains(c) for c in BLANKS])
+    spaced = rows.select("row", "line", F.xxhash64(F.coalesce(companion, F.lit(""))).alias("companion"),
+                         F.btrim(F.when(blank, F.regexp_replace("own", f"[{BLANKS}]", " ")).otherwise(F.col("own"))).alias("spaced")).filter("spaced != ''")
+    plain = spaced.select("row", "line", "companion", F.when(F.col("spaced").contains("  "), F.regexp_replace("spaced", " {2,}", " ")).otherwise(F.col("spaced")).alias("plain"))
+    cut = plain.withColumn("words", _words(_masked(F.col("plain"))))
+    return cut.select("row", "line", F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"), "companion", "plain")
+
+
+def _join(lines: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Lines with the facts of their leaf or template; a key's lines are dealt over ``SALTS`` parts.
+
+    The facts grow with the lines, so they are never broadcast."""
+    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    return lines.withColumn("_salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(spread, [key, "_salt"], how).drop("_salt")
 
 
 def recurring_lines(docs: DataFrame, room: str, doc_id: str = "doc_id", text: str = "text", depth: int = 3, fixed: float = 0.6, min_docs: int = 3) -> DataFrame:
     """``row, line`` of every line whose template recurs; ``row`` is the hash of id and text."""
-    lines = _lines(docs, doc_id, text, depth)
+    lines = C.stored(_lines(docs, doc_id, text, depth), f"{room}/lines")
     # Only leaves with enough lines can hold a recurring template.
     leaves = C.stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf"), f"{room}/leaves")
-    held = C.stored(lines.join(leaves, "leaf"), f"{room}/lines")
+    held = C.stored(_join(lines, leaves, "leaf"), f"{room}/held")
+    C.discard(docs.sparkSession, f"{room}/lines", f"{room}/leaves")
+    held = held.withColumn("raw", _words(F.col("plain"))).withColumn("words", _words(_masked(F.col("plain"))))
     places = (held.select("leaf", F.posexplode("words").alias("place", "word")).groupBy("leaf", "place", "word").agg(F.count(F.lit(1)).alias("n"))
               .groupBy("leaf", "place").agg(F.max("n").alias("most"), F.sum("n").alias("all")))
-    variable = places.filter("2 * most < all").groupBy("leaf").agg(F.collect_list("place").alias("free"))
-    marked = held.join(variable, "leaf", "left")
+    variable = C.stored(places.filter("2 * most < all").groupBy("leaf").agg(F.collect_list("place").alias("free")), f"{room}/variable")
+    marked = _join(held, variable, "leaf", "left")
     general = F.when(F.col("free").isNull(), F.col("words")).otherwise(F.transform("words", lambda w, i: F.when(F.array_contains("free", i), ANY).otherwise(w)))
 
     def enough(words):
@@ -58,8 +82,8 @@ def recurring_lines(docs: DataFrame, room: str, doc_id: str = "doc_id", text: st
     marked = C.stored(marked.select("row", "line", "companion", F.md5(F.encode(F.array_join(template, " "), "UTF-8")).alias("template")), f"{room}/templates")
     counts = marked.groupBy("template").agg(F.count_distinct("row").alias("docs"), F.count_distinct("companion").alias("companions"))
     often = C.stored(counts.filter((F.col("docs") >= min_docs) & (F.col("companions") >= min_docs) & (2 * F.col("companions") >= F.col("docs"))).select("template"), f"{room}/often")
-    C.discard(docs.sparkSession, f"{room}/lines", f"{room}/leaves")
-    return marked.join(often, "template").select("row", "line")
+    C.discard(docs.sparkSession, f"{room}/held", f"{room}/variable")
+    return _join(marked, often, "template").select("row", "line")
 
 
 def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, fixed: float = 0.6, min_docs: int = 3) -> DataFrame:
@@ -73,7 +97,7 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     room = C.workroom(docs.sparkSession, "lines")
     gone = C.stored(recurring_lines(docs, room, doc_id, text, depth, fixed, min_docs), f"{room}/gone").groupBy("row").agg(F.collect_set("line").alias("gone"))
     row, out = C.fresh(docs, "_row"), C.fresh(docs, "_gone")
-    joined = docs.withColumn(row, F.xxhash64(F.col(doc_id).cast("string"), F.col(text))).join(gone.select(F.col("row").alias(row), F.col("gone").alias(out)), row, "left")
+    joined = docs.withColumn(row, F.xxhash64(F.col(doc_id).cast("string"), F.col(text))).join(gone.select(F.col("row").alias(row), F.col("gone").alias(out)).hint("merge"), row, "left")
     lines = F.split(F.col(text), "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.array_contains(out, i))
     return (joined.withColumn("lines_before", F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("bigint"))

@@ -29,6 +29,13 @@ def test_quoted_line_breaks_and_many_files(spark, tmp_path):
     assert {r["s"]: r["n"] for r in many.groupBy(F.regexp_extract("source", r"(\w)\.csv", 1).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()} == {"a": 3, "b": 2}
 
 
+def test_delimiter_is_judged_on_all_lines_outside_quotes(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("a, b and c, d\n" + '1;"x, y, z"\n2;"p, q, r"\n3;s\n', encoding="utf-8")
+    (tmp_path / "one.csv").write_text("only\nvalues\n", encoding="utf-8")
+    (tmp_path / "none.csv").write_text("", encoding="utf-8")
+    assert [R.find_delimiter(spark, [str(tmp_path / n)], "UTF-8") for n in ("d.csv", "one.csv", "none.csv")] == [";", ",", ","]
+
+
 def test_malformed_quotes_and_wide_rows_fail(spark, tmp_path):
     (tmp_path / "bad.csv").write_text('x,y\n"a"b,c\n', encoding="utf-8")
     with pytest.raises(Exception, match="malformed quotes"):

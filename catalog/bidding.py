@@ -1,5 +1,6 @@
 """Bid comparison and estimates: bidder = supplier % 8, line = part, value = summed price (whole cents, so rounding never ties)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.base import query, r, table
@@ -76,21 +77,36 @@ def stated_total(spark, sf):
     return B.stated_total(rows, totals.select("party", "total")).withColumn("stated", r("stated")).withColumn("total", r("total"))
 
 
+def _line_totals(l, *more):
+    """Totals of order lines; ``more`` are columns that tell rows of the same key apart."""
+    k = F.col("l_linenumber") % 3
+    one = lambda m, a, p, v: F.struct(F.lit(m).alias("measure"), F.lit(a).cast("string").alias("axis"), F.lit(p).alias("position"), v.alias("value"))
+    none = F.lit(None).cast("double")
+    cells = l.select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("n"), *more, F.col("l_quantity").alias("quantity"), F.explode(F.array(
+        one("amount", None, 5, F.when(k == 0, F.col("l_extendedprice")).otherwise(none)), one("amount", "material", 2, F.when(k == 1, F.col("l_extendedprice")).otherwise(none)),
+        one("amount", "labour", 3, F.when(k == 1, F.col("l_tax") * 100).otherwise(none)), one("unit", None, 1, F.when(k == 2, F.col("l_discount")).otherwise(none)))).alias("x")).select("line", "n", *more, "quantity", "x.*")
+    return B.line_total(cells, ["line", "n", *more]).select("line", "n", *more, *[r(c).alias(c) for c in ("total", "material", "labour")])
+
+
 @query("line_total", """
 SELECT l_orderkey AS line, l_linenumber AS n, ROUND(CASE l_linenumber % 3 WHEN 0 THEN l_extendedprice WHEN 1 THEN l_extendedprice + l_tax * 100 ELSE l_quantity * l_discount END, 2) AS total,
  CASE l_linenumber % 3 WHEN 1 THEN ROUND(l_extendedprice, 2) END AS material, CASE l_linenumber % 3 WHEN 1 THEN ROUND(l_tax * 100, 2) END AS labour FROM (SELECT DISTINCT * FROM lineitem) x
 QUALIFY COUNT(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1""")
 def line_total(spark, sf):
-    k = F.col("l_linenumber") % 3
     l = table(spark, sf, "lineitem").distinct()
     once = l.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c")
-    l = l.join(once, ["l_orderkey", "l_linenumber"])
-    one = lambda m, a, p, v: F.struct(F.lit(m).alias("measure"), F.lit(a).cast("string").alias("axis"), F.lit(p).alias("position"), v.alias("value"))
-    none = F.lit(None).cast("double")
-    cells = l.select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("quantity"), F.explode(F.array(
-        one("amount", None, 5, F.when(k == 0, F.col("l_extendedprice")).otherwise(none)), one("amount", "material", 2, F.when(k == 1, F.col("l_extendedprice")).otherwise(none)),
-        one("amount", "labour", 3, F.when(k == 1, F.col("l_tax") * 100).otherwise(none)), one("unit", None, 1, F.when(k == 2, F.col("l_discount")).otherwise(none)))).alias("x")).select("line", "n", "quantity", "x.*")
-    return B.line_total(cells, ["line", "n"]).select("line", "n", *[r(c).alias(c) for c in ("total", "material", "labour")])
+    return _line_totals(l.join(once, ["l_orderkey", "l_linenumber"]))
+
+
+@query("line_total_every_line", """
+SELECT l_orderkey AS line, l_linenumber AS n, nth, ROUND(CASE l_linenumber % 3 WHEN 0 THEN l_extendedprice WHEN 1 THEN l_extendedprice + l_tax * 100 ELSE l_quantity * l_discount END, 2) AS total,
+ CASE l_linenumber % 3 WHEN 1 THEN ROUND(l_extendedprice, 2) END AS material, CASE l_linenumber % 3 WHEN 1 THEN ROUND(l_tax * 100, 2) END AS labour
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_quantity NULLS FIRST, l_extendedprice NULLS FIRST, l_discount NULLS FIRST, l_tax NULLS FIRST, l_returnflag NULLS FIRST, l_linestatus NULLS FIRST, l_shipdate NULLS FIRST) AS nth FROM lineitem) x""")
+def line_total_every_line(spark, sf):
+    """``line_total`` on all rows: rows that repeat a key are numbered over all their columns."""
+    l = table(spark, sf, "lineitem")
+    l = l.withColumn("nth", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.col(c).asc_nulls_first() for c in l.columns])).cast("bigint"))
+    return _line_totals(l, "nth")
 
 
 @query("fill_sections", """

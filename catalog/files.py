@@ -69,6 +69,15 @@ def json_flatten(spark, sf):
     return R.read_records_json(spark, path).select("event_id", "`props.k`", "`who.type`", "`who.list`")
 
 
+@query("json_flatten_long", """SELECT event_id, replace(CAST(range(event_id, event_id + 1200) AS VARCHAR), ', ', ',') AS "who.list" FROM events WHERE event_id % 100 = 0""")
+def json_flatten_long(spark, sf):
+    """Lists of more than 2,000 characters."""
+    path = scratch(spark, "json")
+    e = table(spark, sf, "events").filter("event_id % 100 = 0")
+    e.select("event_id", F.struct(F.expr("sequence(event_id, event_id + 1199)").alias("list")).alias("who")).write.json(path)
+    return R.read_records_json(spark, path).select("event_id", "`who.list`")
+
+
 @query("xml_round_trip", """SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier""")
 def xml_round_trip(spark, sf):
     path = scratch(spark, "xml")

@@ -7,7 +7,7 @@ Every text begins after a start mark and closes with an end token.
 *Trie.*  Seen contexts and, under each, its successors are two levels of growing word numbers.
 Contexts, the pointers to their successor ranges and the successors (lifted by where the range
 before ended, so that they grow along the whole level) are Elias-Fano sequences; each successor
-has its smoothed probability in one byte.  Levels are plain buffers, read in place.  A lookup
+has its smoothed probability in one byte.  Levels are plain buffers, unpacked whole for a lookup.  A lookup
 finds the context, then searches the successor relative to the context's own range.
 
 *Scale.*  The trie is cut into shards by context and a slice of the successor, so a frequent

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, contamination, language_model, licenses, line_templates, neighbours, quality, simhash, substrings, warc
+from tabscope.llm import bpe, contamination, language_model, licenses, line_templates, manifest, neighbours, pivots, quality, simhash, sketches, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -123,3 +123,95 @@ def op10_bpe_trie(spark, sf):
     coded = bpe.encode_documents(table(spark, sf, "documents"), VOCABULARY)
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Each round's assignment and centroids, one after the other."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+     near{i} AS MATERIALIZED (SELECT rid, CAST(split_part(min(lpad(CAST(d AS VARCHAR), 20, '0') || ':' || k), ':', 2) AS INT) AS k, min(d) AS d
+                 FROM (SELECT v.rid, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM vecs v, cent{i} c) GROUP BY rid)""")
+        if i < rounds:
+            steps.append(f"""
+     cent{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(n.x, c.x) AS x FROM cent{i} c LEFT JOIN (SELECT k, list(m ORDER BY place) AS x FROM (
+                 SELECT k, place, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (
+                 SELECT a.k, u.place, sum(v.x[u.place]) AS s, count(*)::HUGEINT AS n FROM near{i} a JOIN vecs v USING (rid), (SELECT unnest(range(1, 65)) AS place) u GROUP BY a.k, u.place)) GROUP BY k) n USING (k))""")
+    return ",".join(steps)
+
+
+@query("op11_laesa_centroids", f"""
+WITH vecs AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+     cent0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INT) AS k, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM vecs ORDER BY h, x LIMIT 8)),{_rounds_sql(10)}
+SELECT vec_id, k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM near10 JOIN vecs v USING (rid) JOIN cent10 c USING (k)
+""")
+def op11_laesa_centroids(spark, sf):
+    return pivots.cluster(table(spark, sf, "embeddings"))
+
+
+@query("op12_paragraph_sketches")
+def op12_paragraph_sketches(spark, sf):
+    return sketches.fingerprints(table(spark, sf, "documents"))
+
+
+def _tree_sql(name: str, source: str, levels: int) -> str:
+    """Levels of 16-fold runs above ``source (g, pos, digest)``: siblings on the left and on the
+    right of every node, and its parent's place and digest; a group's only node has none."""
+    out, below = [], source
+    for i in range(levels):
+        out.append(f"""
+     {name}{i} AS MATERIALIZED (SELECT g, pos, digest, count(*) OVER (PARTITION BY g) > 1 AS inner_node,
+                 coalesce(string_agg(digest, '' ORDER BY pos) OVER (PARTITION BY g, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                 coalesce(string_agg(digest, '' ORDER BY pos) OVER (PARTITION BY g, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {below}),
+     {name}up{i} AS MATERIALIZED (SELECT g, pos // 16 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM {name}{i} WHERE inner_node GROUP BY g, pos // 16)""")
+        below = f"{name}up{i}"
+    return ",".join(out)
+
+
+def _manifest_sql(low: int, high: int) -> str:
+    """Trees of ``low`` levels per source and ``high`` levels above them."""
+    def encoded(c):
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(encoded(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    upper, lower = manifest.UPPER, manifest.LOWER
+    steps, joins, proof, folded = [], [], ["''"], "start"
+    for name, levels, place in (("low", low, "d.g"), ("high", high, "0")):
+        at = "d.pos" if name == "low" else "d.g"
+        for i in range(levels):
+            t = f"{name[0]}{i}"
+            joins.append(f"LEFT JOIN {name}{i} {t} ON {t}.inner_node AND {t}.g = {place} AND {t}.pos = {at} // {16 ** i}")
+            proof.append(f"coalesce({t}.l || {t}.r, '')")
+    for t in [f"l{i}" for i in range(low)] + [f"h{i}" for i in range(high)]:
+        steps.append(f"f{len(steps) + 1} AS (SELECT * EXCLUDE (start), CASE WHEN {t}l IS NULL THEN start ELSE sha256({t}l || start || {t}r) END AS start FROM f{len(steps)})")
+    sides = ", ".join(f"{t}.l AS {t}l, {t}.r AS {t}r" for t in [f"l{i}" for i in range(low)] + [f"h{i}" for i in range(high)])
+    return f"""
+WITH leaves AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf,
+                {leaf(f"CASE WHEN crc_hit THEN translate(text, '{upper}', '{lower}') ELSE text END")} AS start FROM (SELECT *, {_crc_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 AS crc_hit FROM documents)),
+     placed AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+     bottom AS (SELECT g, pos, leaf AS digest FROM placed),{_tree_sql("low", "bottom", low)},
+     subroots AS MATERIALIZED ({" UNION ALL ".join(f"SELECT g, digest FROM low{i} WHERE NOT inner_node" for i in range(low))}),
+     tops AS (SELECT 0 AS g, g AS pos, digest FROM subroots),{_tree_sql("high", "tops", high)},
+     top AS ({" UNION ALL ".join(f"SELECT digest FROM high{i} WHERE NOT inner_node" for i in range(high))}),
+     f0 AS (SELECT d.doc_id, d.leaf, s.digest AS subroot, top.digest AS root, {" || ".join(proof)} AS proof, d.start, {sides}
+            FROM placed d JOIN subroots s ON s.g = d.g CROSS JOIN top {" ".join(joins)}),
+     {", ".join(steps)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, start AS folded_root, start = root AS verified FROM f{len(steps)}"""
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text of digits, bit by bit."""
+    bits = "list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, b: {bits}, 4294967295), 4294967295)"
+
+
+@query("op13_merkle_manifest", _manifest_sql(6, 4))
+def op13_merkle_manifest(spark, sf):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    checked = manifest.audit(table(spark, sf, "documents"), tampered=tampered)
+    return checked.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")

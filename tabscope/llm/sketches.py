@@ -31,7 +31,7 @@ from tabscope.llm import common as C
 
 #: Cells of a fingerprint; three groups of equal size.
 CELLS = 18
-GROWTH = 4
+GROWTH = 16
 #: Longest paragraph in code points.
 LONGEST = 200
 #: Bytes of text of a range partition.
@@ -56,13 +56,22 @@ def digests(text: str) -> np.ndarray:
 
 
 def _checks(keys: np.ndarray) -> np.ndarray:
-    return (C.mix(keys ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+
+
+#: The cell inside each third comes from 21 bits of one hash.
+_SHIFTS = np.array([[1], [22], [43]], dtype=np.uint64)
+_BITS = np.uint64((1 << 21) - 1)
 
 
 def _places(keys: np.ndarray, cells: int) -> np.ndarray:
     """Three cells of each key, one in each third; another size has other places."""
     third = cells // 3
-    return np.concatenate([(C.mix(keys + np.uint64((i + 1) * cells)) % np.uint64(third)).astype(np.int64) + i * third for i in range(3)])
+    if third <= 1 << 16:
+        slots = ((C.mix(keys + np.uint64(cells)) >> _SHIFTS & _BITS) * np.uint64(third)) >> np.uint64(21)
+    else:  # 21 bits would leave cells unevenly filled
+        slots = np.stack([C.mix(keys + np.uint64(cells + i)) % np.uint64(third) for i in range(3)])
+    return slots.astype(np.int64) + np.array([[0], [third], [2 * third]])
 
 
 @dataclass
@@ -74,14 +83,14 @@ class Sketch:
     @classmethod
     def of(cls, keys: np.ndarray, cells: int = CELLS) -> Sketch:
         new = cls(np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint32))
-        new.put(keys, np.ones(len(keys), np.int64))
+        new.put(keys, _checks(keys), 1)
         return new
 
-    def put(self, keys: np.ndarray, times: np.ndarray):
+    def put(self, keys: np.ndarray, checks: np.ndarray, times: int | np.ndarray):
         at = _places(keys, len(self.count))
-        np.add.at(self.count, at, np.tile(times, 3))
-        np.bitwise_xor.at(self.key, at, np.tile(keys, 3))
-        np.bitwise_xor.at(self.check, at, np.tile(_checks(keys), 3))
+        np.add.at(self.count, at, times)
+        np.bitwise_xor.at(self.key, at, keys)
+        np.bitwise_xor.at(self.check, at, checks)
 
     def __sub__(self, other: Sketch) -> Sketch:
         return Sketch(self.count - other.count, self.key ^ other.key, self.check ^ other.check)
@@ -90,14 +99,19 @@ class Sketch:
         """The keys only the left side held and those only the right side held; None if cells remain."""
         sides: tuple[list, list] = ([], [])
         for _ in range(len(self.count) + 1):
-            pure = np.flatnonzero((np.abs(self.count) == 1) & (_checks(self.key) == self.check))
+            single = np.flatnonzero(np.abs(self.count) == 1)
+            keys = self.key[single]
+            checks = _checks(keys)
+            pure = np.flatnonzero(checks == self.check[single])
             if not len(pure):
                 break
-            keys, first = np.unique(self.key[pure], return_index=True)
-            signs = self.count[pure[first]]
+            # A key may be alone in more than one of its cells.
+            pure = pure[np.argsort(keys[pure])]
+            pure = pure[np.append(True, keys[pure[1:]] != keys[pure[:-1]])]
+            keys, signs = keys[pure], self.count[single[pure]]
             sides[0].append(keys[signs > 0])
             sides[1].append(keys[signs < 0])
-            self.put(keys, -signs)
+            self.put(keys, checks[pure], -signs)
         if self.count.any() or self.key.any() or self.check.any():
             return None
         return tuple(np.concatenate(s) if s else np.zeros(0, np.uint64) for s in sides)

@@ -52,7 +52,7 @@ def digests(text: str) -> np.ndarray:
     for piece in paragraphs(text):
         n = seen[piece] = seen.get(piece, -1) + 1
         out.append(xxhash.xxh64_intdigest(piece, n))
-    return np.array(out, dtype=np.uint64)
+    return np.unique(np.array(out, dtype=np.uint64))  # a digest met twice would never be peeled
 
 
 def _checks(keys: np.ndarray) -> np.ndarray:
@@ -87,10 +87,11 @@ class Sketch:
         return new
 
     def put(self, keys: np.ndarray, checks: np.ndarray, times: int | np.ndarray):
-        at = _places(keys, len(self.count))
-        np.add.at(self.count, at, times)
-        np.bitwise_xor.at(self.key, at, keys)
-        np.bitwise_xor.at(self.check, at, checks)
+        # Flat arrays of one length: ``ufunc.at`` reads past the end of values it would have to broadcast.
+        at = _places(keys, len(self.count)).ravel()
+        np.add.at(self.count, at, times if np.ndim(times) == 0 else np.tile(times, 3))
+        np.bitwise_xor.at(self.key, at, np.tile(keys, 3))
+        np.bitwise_xor.at(self.check, at, np.tile(checks, 3))
 
     def __sub__(self, other: Sketch) -> Sketch:
         return Sketch(self.count - other.count, self.key ^ other.key, self.check ^ other.check)

@@ -8,7 +8,8 @@ id, so it can be repeated) and taking the ``k`` largest.
 
 ``k`` comes from the data: how many documents reach the weight that parts good from bad labelled
 ones best.  Half of the labelled good documents make the wanted model, the other half and the bad
-ones choose that weight, on at most ``CALIBRATION`` rows.  Toxicity is not a matter of quality here.
+ones choose that weight, out of at most
+``LABELLED`` labelled ids (those of the smallest hashes).  Toxicity is not a matter of quality here.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ BUCKETS = 1 << 18
 CHUNK = 1 << 12
 SMOOTHING = 1.0
 TEMPERATURE = 0.002
-#: Most labelled rows used to choose the parting weight.
-CALIBRATION = 20_000
+#: Most labelled documents used to fit the wanted model and to choose the parting weight.
+LABELLED = 20_000
 BINS = 4096
 _UNIT = re.compile(r"\w+|[^\w\s]+")
 #: Distinct units whose hash a task keeps.
@@ -186,8 +187,9 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", quality: str = "quality",
-             temperature: float = TEMPERATURE, k: int | None = None, seed: int = 7, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """The drawn rows of ``docs``, and ``weight`` (mean log ratio) and ``weight_key``.
+             temperature: float = TEMPERATURE, k: int | None = None, seed: int = 7, columns: tuple[str, ...] | None = None, labelled: int = LABELLED) -> DataFrame:
+    """The drawn rows of ``docs``, and ``weight`` (mean log ratio) and ``weight_key``; where ``docs`` has
+    such columns, underscores are added to the new names.
 
     With ``columns`` only those are returned, from the stored weights; otherwise all columns are,
     and the texts are weighed again where they are read.
@@ -195,26 +197,34 @@ def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     ``k`` sets the size of the draw; without it the labels do.  Rows of equal key (repeated ids and
     texts) stay or go together.  A text without n-grams (null, empty, white space) weighs 0.  Labels
     that are null or of unknown ids count for nothing; without labels of both kinds all rows stay.
-    An empty table gives no rows.
+    An empty table gives no rows.  Texts of any length are weighed whole, in slices.  At most
+    ``labelled`` labels are used, so no text is shuffled to meet its label.
     """
+    out = C.fresh(docs, "weight"), C.fresh(docs, "weight_key")
     known = (labels.select(F.col(label_id).cast("bigint").alias("_label_id"), F.col(quality).cast("int").alias("_quality"))
-             .filter("_label_id is not null and _quality in (0, 1)").groupBy("_label_id").agg(F.min("_quality").alias("_quality")))
+             .filter("_label_id is not null and _quality in (0, 1)").groupBy("_label_id").agg(F.min("_quality").alias("_quality"))
+             .orderBy(F.xxhash64(F.lit(seed + 1), "_label_id"), "_label_id").limit(labelled))
+    # Two numbers for each of at most ``labelled`` ids: read once, then sent with the tasks.
+    known = F.broadcast(docs.sparkSession.createDataFrame(known.toPandas(), "_label_id bigint, _quality int"))
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("_doc_id"), F.col(text).alias("_text"))
-    labelled = C.stored(narrow.join(known, F.col("_doc_id") == F.col("_label_id")).select("_doc_id", "_text", "_quality"), C.workroom(docs.sparkSession, "labelled"))
+    found = narrow.join(known, F.col("_doc_id") == F.col("_label_id"), "left")
     fitting = F.pmod(F.xxhash64(F.lit(seed), F.col("_doc_id")), F.lit(2)) == 0
-    wanted = bucket_counts(labelled, "_text", (F.col("_quality") == 1) & fitting)[0]
-    raw = bucket_counts(docs, text, F.lit(False))[1]
-    ratios = log_ratios(np.stack([wanted, raw])) if wanted.any() else np.zeros(BUCKETS)
+    counts = bucket_counts(found, "_text", (F.col("_quality") == 1) & fitting)
+    ratios = log_ratios(counts) if counts[0].any() else np.zeros(BUCKETS)
     weigh = weigher(docs, ratios)
-    sample = labelled.filter((F.col("_quality") == 0) | ~fitting).orderBy(F.xxhash64(F.lit(seed + 1), F.col("_doc_id"))).limit(CALIBRATION)
-    seen = sample.select("_quality", weigh("_text")["mean"].alias("w")).toPandas()
-    cut = parting_weight(seen.loc[seen["_quality"] == 1, "w"].to_numpy(), seen.loc[seen["_quality"] == 0, "w"].to_numpy())
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 2), F.col(doc_id).cast("bigint"), F.col(text)), 11).cast("double") + 0.5) / float(1 << 53)
-    keyed = docs.withColumn("weight", weigh(F.col(text))["mean"]).withColumn("weight_key", F.col("weight") / temperature - F.log(-F.log(uniform)))
-    keys = C.stored(keyed.select(*[F.col(c).alias(f"own_{c}") for c in columns or ()], F.col("weight_key").alias("key"), "weight"), C.workroom(docs.sparkSession, "weights"))
+    # Every text is weighed once; what is kept of it is a few numbers.
+    own, (weight, key) = list(columns or ()), out
+    kept = docs.select(*[F.col(c).alias(f"own_{c}") for c in own], F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("content"),
+                       weigh(F.col(text))["mean"].alias("weight"), uniform.alias("uniform"))
+    keys = C.stored(kept.withColumn("key", F.col("weight") / temperature - F.log(-F.log("uniform"))).drop("uniform"), C.workroom(docs.sparkSession, "weights"))
     if k is None:
+        judged = keys.join(known, F.col("id") == F.col("_label_id")).filter((F.col("_quality") == 0) | (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(2)) != 0))
+        seen = judged.orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "content").limit(labelled).select("_quality", "weight").toPandas()
+        cut = parting_weight(seen.loc[seen["_quality"] == 1, "weight"].to_numpy(), seen.loc[seen["_quality"] == 0, "weight"].to_numpy())
         k = keys.filter(F.col("weight") >= float(cut)).count()
     least = kth_largest(keys.select("key"), k)
     if columns is not None:
-        return keys.filter(F.col("key") >= least).select(*[F.col(f"own_{c}").alias(c) for c in columns], "weight", F.col("key").alias("weight_key"))
-    return keyed.filter(F.col("weight_key") >= least)
+        return keys.filter(F.col("key") >= least).select(*[F.col(f"own_{c}").alias(c) for c in own], F.col("weight").alias(weight), F.col("key").alias(key))
+    keyed = docs.withColumn(weight, weigh(F.col(text))["mean"]).withColumn(key, F.col(weight) / temperature - F.log(-F.log(uniform)))
+    return keyed.filter(F.col(key) >= least)

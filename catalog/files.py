@@ -61,6 +61,27 @@ def thai_round_trip(spark, sf):
     return R.read_grid_csv(spark, path).select(F.col("cells")[0].cast("bigint").alias("id"), F.col("cells")[1].alias("name"))
 
 
+@query("csv_mixed_encodings", """SELECT p_partkey AS id, 'ราคา ' || p_name AS name FROM part""")
+def csv_mixed_encodings(spark, sf):
+    """One folder of UTF-8 and Windows code page files."""
+    path = scratch(spark, "mixed")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    named = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("ราคา "), "p_name").alias("name"))
+    named.filter("p_partkey % 2 = 0").write.csv(path)
+    named.filter("p_partkey % 2 = 1").write.mode("append").option("encoding", "x-windows-874").csv(path)
+    return R.read_grid_csv(spark, path).select(F.col("cells")[0].cast("bigint").alias("id"), F.col("cells")[1].alias("name"))
+
+
+@query("csv_strict", """SELECT c_custkey AS id, c_name || ', "' || c_mktsegment || '"' AS name, c_nationkey AS nation FROM customer""")
+def csv_strict(spark, sf):
+    """Strict quoting: well-formed quoted cells, with doubled quotes and delimiters inside, come back unchanged."""
+    path = scratch(spark, "strict")
+    name = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"'))
+    table(spark, sf, "customer").select("c_custkey", name.alias("name"), "c_nationkey").write.option("escape", '"').option("quoteAll", "true").csv(path)
+    grid = R.read_grid_csv(spark, path, sep=",", strict=True)
+    return grid.select(grid.cells[0].cast("bigint").alias("id"), grid.cells[1].alias("name"), grid.cells[2].cast("int").alias("nation"))
+
+
 @query("json_flatten", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k", event_type AS "who.type", '[' || user_id || ',1]' AS "who.list" FROM events""")
 def json_flatten(spark, sf):
     path = scratch(spark, "json")

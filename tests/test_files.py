@@ -33,7 +33,44 @@ def test_delimiter_is_judged_on_all_lines_outside_quotes(spark, tmp_path):
     (tmp_path / "d.csv").write_text("a, b and c, d\n" + '1;"x, y, z"\n2;"p, q, r"\n3;s\n', encoding="utf-8")
     (tmp_path / "one.csv").write_text("only\nvalues\n", encoding="utf-8")
     (tmp_path / "none.csv").write_text("", encoding="utf-8")
-    assert [R.find_delimiter(spark, [str(tmp_path / n)], "UTF-8") for n in ("d.csv", "one.csv", "none.csv")] == [";", ",", ","]
+    assert [R.find_delimiter(spark, [str(tmp_path / n)], {"UTF-8": []}) for n in ("d.csv", "one.csv", "none.csv")] == [";", ",", ","]
+
+
+def test_each_file_of_a_folder_has_its_own_encoding(spark, tmp_path):
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    names = {"utf8": "utf-8", "thai": "cp874", "marked": "utf-16-le"}
+    for name, encoding in names.items():
+        mark = b"\xff\xfe" if name == "marked" else b""
+        (folder / f"{name} file.csv").write_bytes(mark + f"{name};ราคา\n\n{name};ปูน\n".encode(encoding))
+    found = R.find_encodings(spark, [str(folder)])
+    assert {e: len(f) for e, f in found.items()} == {"UTF-8": 1, R.THAI_CODE_PAGE: 1, "UTF-16LE": 1}
+    rows = {(r["row_number"], *r["cells"]) for r in R.read_grid_csv(spark, str(folder)).collect()}
+    assert rows == {(n, *c) for name in names for n, c in ((1, (name, "ราคา")), (2, ()), (3, (name, "ปูน")))}
+
+
+def test_encoding_shows_only_at_the_end_of_a_file(spark, tmp_path):
+    (tmp_path / "late.csv").write_bytes(b"id;name\n" * 200_000 + "1;ปูน\n".encode("cp874"))
+    last = R.read_grid_csv(spark, str(tmp_path / "late.csv")).orderBy(F.desc("row_number")).first()
+    assert (last["row_number"], last["cells"]) == (200_001, ["1", "ปูน"])
+    (tmp_path / "broken.csv").write_bytes(b"id;name\n1;\xff\xfd\xdb\n")
+    with pytest.raises(Exception, match="MALFORMED_CHARACTER_CODING"):
+        R.read_grid_csv(spark, str(tmp_path / "broken.csv")).collect()
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_lines_are_numbered_across_file_blocks(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(R, "BLOCKS_SENT", sent)
+    for name, n in (("x", 9000), ("y", 40)):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{name},{i}\n" + "\n" * (i % 3 == 0) for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = [(r["cells"][0], r["row_number"], int(r["cells"][1])) for r in R.read_grid_csv(spark, str(tmp_path)).collect() if r["cells"]]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [(name, i + 1 + -(-i // 3), i) for name, n in (("x", 9000), ("y", 40)) for i in range(n)]
+    assert sorted(rows) == sorted(want)
 
 
 def test_malformed_quotes_and_wide_rows_fail(spark, tmp_path):

@@ -73,7 +73,7 @@ def ask(df: DataFrame, question: Question, columns: dict[str, ColumnInfo] | None
     """Plan one question.  Raises ``SpecError`` when it does not fit the table."""
     columns = columns or columns_from_schema(df)
     _check(question, columns)
-    limit = question.limit if isinstance(question.limit, int) and 1 <= question.limit <= V.MAX_GROUP_ROWS else V.DEFAULT_GROUP_ROWS
+    limit = min(question.limit, V.MAX_GROUP_ROWS) if isinstance(question.limit, int) and question.limit >= 1 else V.DEFAULT_GROUP_ROWS
     sort = question.sort if question.sort in SORTS else "desc"
     matched = apply_filters(drop_summary_rows(df), list(question.filters), columns)
     value = aggregate(df, question.agg, question.measure)

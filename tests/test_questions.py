@@ -165,3 +165,9 @@ def test_year_month_text_column(spark):
     assert role_columns(infer_roles(df))["m"].time_format == "year_month"
     info = ColumnInfo("m", "text", "time", "date", None, "year_month")
     assert [(r["x"], r["y"]) for r in T.time_series(df, info, "v", "sum").collect()] == [("2026-01", 1.0), ("2026-02", 6.0)]
+
+
+def test_a_limit_over_the_largest_is_the_largest(spark):
+    df = spark.range(200).selectExpr("concat('g', id) AS name", "CAST(id AS DOUBLE) AS value")
+    shown = [ask(df, Question("value", "sum", ("name",), limit=n)).groups.count() for n in (3, 60, 0)]
+    assert shown == [3, 50, 15]

@@ -90,26 +90,31 @@ def op8_substring_dedup(spark, sf):
 
 
 @query("op9_log_templates", r"""
-WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+WITH RECURSIVE docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+     texts AS MATERIALIZED (SELECT row_number() OVER () AS whole, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+     triples AS MATERIALIZED (SELECT DISTINCT whole, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT whole, w, unnest(range(1, len(w) + 1)) AS i FROM texts)),
+     sizes AS (SELECT whole, count(*) AS n FROM triples GROUP BY whole),
+     alike AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT x.whole AS a, y.whole AS b, count(*) AS n FROM triples x JOIN triples y ON x.h = y.h AND x.whole <> y.whole GROUP BY ALL) p
+               JOIN sizes s ON s.whole = p.a JOIN sizes t ON t.whole = p.b WHERE p.n >= 0.6 * (s.n + t.n - p.n)),
+     reached AS (SELECT a, b FROM alike UNION SELECT r.a, l.b FROM reached r JOIN alike l ON r.b = l.a),
+     family AS MATERIALIZED (SELECT t.text, least(t.whole, coalesce(min(r.b), t.whole)) AS family FROM texts t LEFT JOIN reached r ON r.a = t.whole GROUP BY t.text, t.whole),
      own AS (SELECT doc_id, unnest(lines) AS own, unnest(range(len(lines))) AS line FROM docs),
-     ranked AS (SELECT doc_id, own, row_number() OVER (PARTITION BY doc_id ORDER BY length(own) DESC, own DESC) AS r FROM (SELECT DISTINCT doc_id, own FROM own)),
      cut AS (SELECT doc_id, line, own, regexp_extract_all(own, '[^\x20\x09-\x0D]+') AS raw FROM own),
-     masked AS (SELECT doc_id, line, own, raw, list_transform(raw, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS words FROM cut WHERE len(raw) > 0),
-     met AS (SELECT m.doc_id, line, raw, words, CASE WHEN m.own <> a.own THEN a.own ELSE coalesce(b.own, '') END AS companion, {'n': len(words), 'head': words[1:3]} AS leaf
-             FROM masked m JOIN ranked a ON m.doc_id = a.doc_id AND a.r = 1 LEFT JOIN ranked b ON m.doc_id = b.doc_id AND b.r = 2),
+     masked AS (SELECT doc_id, line, raw, list_transform(raw, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS words FROM cut WHERE len(raw) > 0),
+     met AS (SELECT doc_id, line, raw, words, {'n': len(words), 'head': words[1:3]} AS leaf FROM masked),
      leaves AS (SELECT leaf FROM met GROUP BY leaf HAVING count(*) >= 3),
      held AS (SELECT met.* FROM met JOIN leaves USING (leaf)),
      places AS (SELECT leaf, place, max(n) AS most, sum(n) AS total FROM
                 (SELECT leaf, place, word, count(*) AS n FROM (SELECT leaf, unnest(words) AS word, unnest(range(len(words))) AS place FROM held) GROUP BY ALL) GROUP BY leaf, place),
      variable AS (SELECT leaf, list(place) AS free FROM places WHERE 2 * most < total GROUP BY leaf),
-     general AS (SELECT doc_id, line, companion, raw, words, list_transform(words, lambda w, i: CASE WHEN list_contains(coalesce(free, []), i - 1) THEN '<*>' ELSE w END) AS wide
+     general AS (SELECT doc_id, line, raw, words, list_transform(words, lambda w, i: CASE WHEN list_contains(coalesce(free, []), i - 1) THEN '<*>' ELSE w END) AS wide
                  FROM held LEFT JOIN variable USING (leaf)),
-     marked AS (SELECT doc_id, line, companion, CASE WHEN len(list_filter(wide, lambda w: w <> '<*>')) >= 0.6 * len(wide) THEN wide
+     marked AS (SELECT doc_id, line, CASE WHEN len(list_filter(wide, lambda w: w <> '<*>')) >= 0.6 * len(wide) THEN wide
                        WHEN len(list_filter(words, lambda w: w <> '<*>')) >= 0.6 * len(words) THEN words ELSE raw END AS template FROM general),
-     often AS (SELECT template FROM marked GROUP BY template HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT companion) >= 3 AND 2 * count(DISTINCT companion) >= count(DISTINCT doc_id)),
+     often AS (SELECT template FROM marked JOIN docs USING (doc_id) JOIN family USING (text) GROUP BY template HAVING count(DISTINCT family) >= 3),
      gone AS (SELECT doc_id, line FROM marked JOIN often USING (template)),
      kept AS (SELECT doc_id, string_agg(own, chr(10) ORDER BY line) AS text, count(*) AS n FROM own ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines), 0) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
+SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines), 0) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """)
 def op9_log_templates(spark, sf):

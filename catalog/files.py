@@ -9,6 +9,7 @@ from tabscope.columns import ROW
 from tabscope.functions.values import typed_number
 from tabscope.operators import grid as G
 from tabscope.operators import profile as P
+from tabscope.sources import json_documents as J
 from tabscope.sources import readers as R
 from tabscope.sources import sinks as S
 
@@ -99,6 +100,23 @@ def json_flatten_long(spark, sf):
     return R.read_records_json(spark, path).select("event_id", "`who.list`")
 
 
+@query("json_shapes", """
+SELECT 'grid' AS shape, CAST(p_partkey AS BIGINT) AS id, 'a "b", [' || p_name AS name FROM part
+UNION ALL SELECT 'records', CAST(p_partkey AS BIGINT), p_name || '},{' FROM part""")
+def json_shapes(spark, sf):
+    """One JSON object with a list of lists, a list of records and an object beside them, read by many tasks."""
+    path = scratch(spark, "json")
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit('a "b", ['), "p_name").alias("cell"), F.concat("p_name", F.lit("},{")).alias("field"))
+    line = "place int, value string"
+    frame = spark.createDataFrame([(0, '{"note": {"a": [1, {"b": 2}]}, "grid": [["id", "name"]'), (2, '], "records": [{"id": -1}'), (4, "]}")], line)
+    grid = p.select(F.lit(1).alias("place"), F.concat(F.lit(',["'), "p_partkey", F.lit('",'), F.substring(F.to_json(F.array("cell")), 2, 1 << 30)).alias("value"))
+    records = p.select(F.lit(3).alias("place"), F.concat(F.lit(","), F.to_json(F.struct(F.col("p_partkey").alias("id"), F.struct(F.col("field").alias("name")).alias("x")))).alias("value"))
+    frame.unionByName(grid).unionByName(records).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
+    tables = J.json_document(spark, path)
+    rows = tables["grid"].filter("cells[0] <> 'id'").select(F.lit("grid").alias("shape"), F.expr("cells[0]").cast("bigint").alias("id"), F.expr("cells[1]").alias("name"))
+    return rows.unionByName(tables["records"].filter("id <> -1").select(F.lit("records").alias("shape"), F.col("id").cast("bigint").alias("id"), F.col("`x.name`").alias("name")))
+
+
 @query("xml_round_trip", """SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier""")
 def xml_round_trip(spark, sf):
     path = scratch(spark, "xml")

@@ -6,7 +6,9 @@ templates' pieces finds every place a notice can be, and the words around it are
 
 Each candidate is compressed on its own and once with each template as raw zstandard dictionary;
 templates are ranked by how much that shrinks it.  The best is confirmed by the exact wording
-differences between template and block (word alignment), which are reported.
+differences between template and block (word alignment), which are reported.  A difference in a word
+that tells licenses apart (``TELLING``: "lesser", "noncommercial", a version) rejects the template; if
+no other is confirmed, the best rejected one is reported as an unknown variant.
 """
 
 from __future__ import annotations
@@ -28,19 +30,28 @@ RATE = 0.15
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "BSD-3-Clause notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0 notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0 notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT notice": "Released under the MIT License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: A winner whose wording differs in one of these words is another license of its family.
+TELLING = re.compile(r"\b(lesser|library|affero|non-?commercial|no-?deriv\w*|share-?alike|nc|nd|sa|v?[0-9]{1,2}(\.[0-9]+)*)\b")
+VARIANT = " (unknown variant)"
 _WORD = re.compile(r"\S+")
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -122,14 +133,22 @@ class Templates:
             blocks.add((max(0, first - slack), min(len(words), first + len(self.words[t]) + slack)))
         found: dict[tuple[int, int, int], dict] = {}
         for lo, hi in sorted(blocks):
+            rejected = None
             for saved, t in self.rank(words[lo:hi]):
                 edits, first, end, changes = wording(self.words[t], words[lo:hi])
-                if edits <= self.budgets[t]:
-                    found.setdefault((t, lo + first, lo + end), {"license": self.names[t], "first_word": places[lo + first], "last_word": places[lo + end - 1], "saved": saved, "edits": edits, "changes": changes})
+                if edits > self.budgets[t]:
+                    continue
+                row = {"license": self.names[t], "first_word": places[lo + first], "last_word": places[lo + end - 1], "saved": saved, "edits": edits, "changes": changes}
+                if not any(TELLING.search(c) for c in changes):
+                    found.setdefault((t, lo + first, lo + end), row)
                     break
-        # Of notices that overlap the longest stands, then the one with fewest changes.
+                rejected = rejected or ((t, lo + first, lo + end), {**row, "license": self.names[t] + VARIANT})
+            else:
+                if rejected:
+                    found.setdefault(*rejected)
+        # Of notices that overlap a confirmed one stands, then the longest, then the one with fewest changes.
         out, taken = [], np.zeros(len(words), dtype=bool)
-        for (t, a, b), row in sorted(found.items(), key=lambda x: (x[0][1] - x[0][2], x[1]["edits"], x[0])):
+        for (t, a, b), row in sorted(found.items(), key=lambda x: (x[1]["license"].endswith(VARIANT), x[0][1] - x[0][2], x[1]["edits"], x[0])):
             if not taken[a:b].any():
                 taken[a:b] = True
                 out.append(row)

@@ -27,7 +27,7 @@ def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows = spark.read.option("lineSep", ",").text(path)
     return _numbered(rows.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"),
                                  F.col("_metadata.file_block_length").alias("length"), F.monotonically_increasing_id().alias("id"),
-                                 F.regexp_replace(F.validate_utf8("value"), "^﻿", "").alias("text")))
+                                 F.regexp_replace(F.validate_utf8("value"), "^\ufeff", "").alias("text")))
 
 
 def _brackets(text: Column) -> Column:

@@ -68,6 +68,8 @@ def test_elements_of_split_files(spark, tmp_path, small_blocks, indent):
 
 
 def test_broken_and_empty(spark, tmp_path):
+    marked = J.json_document(spark, written(tmp_path, '\ufeff[["a"]]', "m.json"))
+    assert grid(marked[None]) == [["a"]]
     assert J.json_document(spark, written(tmp_path, " \n")) == {} and J.json_document(spark, written(tmp_path, "[]", "e.json")) == {}
     with pytest.raises(Exception, match="close"):
         J.json_elements(spark, written(tmp_path, '{"a": [{"b": 1}, {"c": 2', "x.json")).collect()

@@ -13,8 +13,8 @@ def as_column(c: Column | str) -> Column:
 
 
 def tidy(c: Column | str) -> Column:
-    """Whitespace trimmed at both ends (all Unicode spaces)."""
-    return F.regexp_replace(as_column(c), r"(?U)^\s+|\s+$", "")
+    """Whitespace trimmed at both ends (all Unicode spaces).  Trimming by characters costs a fraction of a pattern."""
+    return F.btrim(as_column(c), F.lit(V.SPACES))
 
 
 def one_line(c: Column | str) -> Column:
@@ -22,7 +22,7 @@ def one_line(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    return as_column(c).isNull() | (tidy(c) == "")
+    return as_column(c).isNull() | (F.ltrim(as_column(c), F.lit(V.SPACES)) == "")
 
 
 def typed_number(c: Column | str) -> Column:
@@ -39,18 +39,22 @@ def typed_number(c: Column | str) -> Column:
 
 def cell_kind(c: Column | str) -> Column:
     """empty | boolean | date | number | error | text for one text cell."""
-    text = tidy(c)
+    return kind_of_tidied(tidy(c))
+
+
+def kind_of_tidied(text: Column) -> Column:
+    """``cell_kind`` of text without outer whitespace.  Cheap tests stand before the patterns they must pass."""
     day = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
     moment = F.try_to_timestamp(F.regexp_replace(text, "T", " "))
-    is_date = text.rlike(V.ISO_DATE) & F.when(F.length(text) > 10, moment.isNotNull()).otherwise(day.isNotNull())
-    grouped = F.regexp_replace(text, ",", "").try_cast("double")
+    is_date = (F.substring(text, 5, 1) == "-") & text.rlike(V.ISO_DATE) & F.when(F.length(text) > 10, moment.isNotNull()).otherwise(day.isNotNull())
+    grouped = F.replace(text, F.lit(","), F.lit("")).try_cast("double")
     plain = text.try_cast("double")
     safe = float(V.MAX_SAFE_INTEGER)
-    is_number = ((text.rlike(V.GROUPED_NUMBER) & (F.abs(grouped) <= safe))
+    is_number = ((F.contains(text, F.lit(",")) & text.rlike(V.GROUPED_NUMBER) & (F.abs(grouped) <= safe))
                  | (text.rlike(V.NUMBER) & ~text.rlike(V.LEADING_ZERO) & (F.abs(plain) <= safe)))
-    return (F.when(is_blank(c), "empty")
-            .when(text.rlike(V.ERROR_LITERAL), "error")
-            .when(F.lower(text).isin("true", "false"), "boolean")
+    return (F.when(text.isNull() | (text == ""), "empty")
+            .when(text.startswith("#") & text.rlike(V.ERROR_LITERAL), "error")
+            .when(F.length(text).isin(4, 5) & F.lower(text).isin("true", "false"), "boolean")
             .when(is_date, "date")
             .when(F.coalesce(is_number, F.lit(False)), "number")
             .otherwise("text"))
@@ -62,7 +66,7 @@ def cell_number(c: Column | str) -> Column:
 
 
 def looks_numeric(c: Column | str) -> Column:
-    return F.coalesce(F.regexp_replace(tidy(c), " ", "").rlike(V.NUMERIC_TEXT), F.lit(False))
+    return F.coalesce(F.replace(tidy(c), F.lit(" "), F.lit("")).rlike(V.NUMERIC_TEXT), F.lit(False))
 
 
 def looks_textual(c: Column | str) -> Column:

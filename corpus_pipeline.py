@@ -29,7 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each family of near copies (five-word Jaccard of 0.8 or more) stays: the one with the smallest id."""
+    """One document of each family of near copies (five-word Jaccard of 0.8 or more) stays: the one with the smallest id.
+
+    op1's fingerprints and Golay keys propose pairs, MinHash bands those beyond their four bits; exact Jaccard decides."""
     return near_copies.keep_one(docs).select(*COLUMNS)
 
 

@@ -63,3 +63,32 @@ def test_rows_without_ids(make_docs):
     got = near_copies.keep_one(make_docs([(3, text), (None, text), (None, text + " end"), (4, "a b c"), (4, "d e f"), (4, "d e f"), (None, None), (7, "")])).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, text), (4, "a b c"), (4, "d e f"), (7, "")]
     assert all((r["_row"], r["row"]) == ("y", 1) for r in got)
+
+
+def test_fingerprints_alone_link_close_copies(spark, monkeypatch):
+    """Without any band, op1's Golay keys find the close copies."""
+    rng = random.Random(7)
+    rows = []
+    for family in range(10):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(400))
+        rows += [(3 * family, base), (3 * family + 1, base + " one more"), (3 * family + 2, base + " " + base.split()[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(near_copies, "_led", lambda keys, turn, least: spark.createDataFrame([], "a bigint, b bigint"))
+    monkeypatch.setattr(near_copies, "_crossed", lambda keys, sets, least: spark.createDataFrame([], "a bigint, b bigint"))
+    assert {r["doc_id"] for r in near_copies.keep_one(docs).collect()} == {3 * f for f in range(10)} == brute(rows)
+
+
+def test_a_member_meets_one_leader_a_turn(spark):
+    keys = spark.createDataFrame([(k, p, 50, p) for k in range(25) for p in range(k, k + 40)], "key bigint, print bigint, n bigint, root bigint")
+    led = near_copies._led(keys, 0, 0.8).collect()
+    assert len(led) == len({r["b"] for r in led}) <= 64
+
+
+def test_blocks_of_a_bucket_link_as_the_whole(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(near_copies, "PART", 300)
+    core = [f"v{rng.randrange(5000)}" for _ in range(60)]
+    rows = [(i, edited(rng, " ".join(core), rng.choice([1, 2, 4, 9]))) for i in range(60)]
+    monkeypatch.setattr(near_copies, "_led", lambda keys, turn, least: spark.createDataFrame([], "a bigint, b bigint"))
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in got} == brute(rows)

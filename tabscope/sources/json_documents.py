@@ -13,11 +13,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.functions.ordered import running
+from tabscope.functions.ordered import block_of, running
 from tabscope.session import durable
 from tabscope.sources.readers import _numbered, flatten_records, read_records_json
 
 _STRING = r'"(?:[^"\\]|\\.)*+"'
+#: Lines whose rows meet the facts of their member or file in one place.
+BLOCK = 1 << 16
 #: What stands before a member's value, and before the elements of a list.
 _NAME = rf"^\s*(?:\{{\s*)?({_STRING})\s*:\s*"
 
@@ -37,6 +39,15 @@ def _brackets(text: Column) -> Column:
     return count("[{") - count("]}")
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the one row of ``facts`` of their ``keys``.  The facts are repeated for every block
+    of lines (``from``) of their rows, so a member with most of a file's elements is not one task's work."""
+    block = block_of("from", BLOCK)
+    reach = rows.groupBy(*keys).agg(F.min(block).alias("_lo"), F.max(block).alias("_hi"))
+    spread = facts.join(reach, keys).withColumn("_b", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+    return rows.withColumn("_b", block).join(spread, [*keys, "_b"]).drop("_b")
+
+
 def json_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``source, member, name, kind, element, text``: every element of the lists of JSON documents.
 
@@ -67,17 +78,19 @@ def json_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # A name may hold commas, so a member's head is the text up to its first end of an element.
     fine = (numbered.groupBy("source", "member", "element").agg(joined("line"), F.first("top").alias("top"), F.min("line").alias("from"), F.max("line").alias("to"),
                                                                  F.max_by("depth", "line").alias("depth"), F.max_by("in_string", "line").alias("in_string")))
+    fine = durable(fine)  # read for the heads and the rows
     heads = (fine.groupBy("source", "member").agg(F.min_by("text", "element").alias("head"), F.first("top").alias("top"))
              .withColumn("value", F.when(F.col("top") == "[", F.col("head")).otherwise(F.regexp_replace("head", _NAME, "")))
              .withColumn("kind", F.regexp_extract("value", r"^\s*(\S?)", 1)).withColumn("kind", F.when(F.col("kind").isin("[", "{"), F.col("kind")).otherwise("-"))
              .select("source", "member", "kind", F.when(F.col("top") != "[", F.get(F.from_json(F.concat(F.lit("["), F.regexp_extract("head", _NAME, 1), F.lit("]")), "array<string>"), F.lit(0))).alias("name")))
-    whole = (fine.join(heads, ["source", "member"]).withColumn("place", F.when(F.col("kind") == "[", F.col("element")))
+    whole = (_with_facts(fine, heads, ["source", "member"]).withColumn("place", F.when(F.col("kind") == "[", F.col("element")))
              .groupBy("source", "member", "name", "kind", "place", "top")
              .agg(joined("element"), F.min("from").alias("from"), F.max("to").alias("to"), F.max_by("depth", "element").alias("depth"), F.max_by("in_string", "element").alias("in_string"))
              .withColumnRenamed("place", "element"))
+    whole = durable(whole)
     starts = whole.groupBy("source", "member").agg(F.min("from").alias("start"))
     ends_at = whole.groupBy("source").agg(F.max("to").alias("end"))
-    whole = whole.join(starts, ["source", "member"]).join(ends_at, "source")
+    whole = _with_facts(_with_facts(whole, starts, ["source", "member"]), ends_at, ["source"])
     closed = F.when(F.col("top") == "[", 1).otherwise(0)
     whole = whole.withColumn("text", F.when((F.col("to") == F.col("end")) & F.col("top").isin("[", "{") & ((F.col("depth") != closed) | F.col("in_string")),
                                             F.raise_error(F.concat(F.lit("brackets or quotes of the JSON document don't close: "), "source")).cast("string")).otherwise(F.col("text")))

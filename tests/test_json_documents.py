@@ -73,3 +73,12 @@ def test_broken_and_empty(spark, tmp_path):
     assert J.json_document(spark, written(tmp_path, " \n")) == {} and J.json_document(spark, written(tmp_path, "[]", "e.json")) == {}
     with pytest.raises(Exception, match="close"):
         J.json_elements(spark, written(tmp_path, '{"a": [{"b": 1}, {"c": 2', "x.json")).collect()
+
+
+def test_facts_of_a_long_member_are_spread_over_its_lines(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 10)
+    rows = spark.createDataFrame([("f", i // 95, i) for i in range(100)] + [("g", 0, 3)], "source string, member bigint, from bigint")
+    facts = spark.createDataFrame([("f", 0, "x"), ("f", 1, "y"), ("g", 0, "z")], "source string, member bigint, name string")
+    got = J._with_facts(rows, facts, ["source", "member"])
+    assert sorted((r["source"], r["member"], r["from"], r["name"]) for r in got.collect()) == [("f", i // 95, i, "xy"[i // 95]) for i in range(100)] + [("g", 0, 3, "z")]
+    assert "_b" in got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1].split("\n")[0]

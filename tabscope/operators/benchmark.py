@@ -105,7 +105,7 @@ def map_vendors(headers: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def number_of(c: Column) -> Column:
-    return F.regexp_replace(tidy(c), ",", "").try_cast("double")
+    return F.replace(tidy(c), F.lit(","), F.lit("")).try_cast("double")
 
 
 def note_class(c: Column) -> Column:
@@ -136,7 +136,7 @@ def to_long(grid: DataFrame, headers: DataFrame, vendors: DataFrame) -> DataFram
         F.sort_array(F.collect_list(F.when(any_word(F.col("header"), V.NOTE_WORDS), F.col("position")))).alias("_notes"))
     maps = vendors.groupBy(*SHEET, "vendor").agg(F.map_from_entries(F.collect_list(F.struct("field", "position"))).alias("_map"))
     sides = shape.join(maps.groupBy(*SHEET).agg(F.collect_list(F.struct("vendor", "_map")).alias("_vendors")), SHEET)  # as many as the sheet has columns
-    rows = join_by_sheet(drop_blank_rows(grid).select(*SHEET, "row_number", "cells"), sides).filter(F.col("row_number") > F.col("_h"))
+    rows = join_by_sheet(drop_blank_rows(grid).select(*SHEET, "row_number", "cells"), sides, among=grid).filter(F.col("row_number") > F.col("_h"))
     cell = lambda pos: F.get("cells", F.col(pos))
     notes = F.filter(F.transform("_notes", lambda p: note_class(F.get(F.col("cells"), p))), lambda x: x.isNotNull())
     r = (rows.withColumn("category", F.when(~is_blank(cell("_cat")), tidy(cell("_cat")))).withColumn("item", F.coalesce(F.lower(one_line(cell("_item"))), F.lit("")))

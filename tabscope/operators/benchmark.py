@@ -137,6 +137,8 @@ def to_long(grid: DataFrame, headers: DataFrame, vendors: DataFrame) -> DataFram
     maps = vendors.groupBy(*SHEET, "vendor").agg(F.map_from_entries(F.collect_list(F.struct("field", "position"))).alias("_map"))
     sides = shape.join(maps.groupBy(*SHEET).agg(F.collect_list(F.struct("vendor", "_map")).alias("_vendors")), SHEET)  # as many as the sheet has columns
     rows = join_by_sheet(drop_blank_rows(grid).select(*SHEET, "row_number", "cells"), sides, among=grid).filter(F.col("row_number") > F.col("_h"))
+    # A small file is one task's scan, however many rows it holds: its rows are dealt out before the work on them.
+    rows = rows.repartition(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), *SHEET, "row_number")
     cell = lambda pos: F.get("cells", F.col(pos))
     notes = F.filter(F.transform("_notes", lambda p: note_class(F.get(F.col("cells"), p))), lambda x: x.isNotNull())
     r = (rows.withColumn("category", F.when(~is_blank(cell("_cat")), tidy(cell("_cat")))).withColumn("item", F.coalesce(F.lower(one_line(cell("_item"))), F.lit("")))
